@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkgrain.llm import blocksample, lookalike, percentiles, splits
+from inkgrain.llm import blocksample, crossleak, lookalike, percentiles, splits
+from inkgrain.session import settle
 
 PS = [0.05, 0.25, 0.5, 0.75, 0.95]
 METRICS = ["height", "contrast", "tilt"]
@@ -30,7 +31,7 @@ def _assigned(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of images that must share a split."""
-    return splits.linked_pairs(lookalike.settle(_assigned(spark, d)), "img_id")
+    return splits.linked_pairs(settle(_assigned(spark, d)), "img_id")
 
 
 def p1_splits(spark: SparkSession, d: str) -> DataFrame:
@@ -128,6 +129,26 @@ h as (select a.*, p from a, (values {_PV}) as w(p) where rk = floor(round(p * (n
 select source, metric, p, n, case when v = 0 then 0.0 else {_CELL} end as lo, case when v = 0 then pow(2, -1023) * (1 + 1.0 / 256) else {_CELL} + pow(2, floor(log2(abs(v)))) / 256 end as hi from h"""
 
 
+# 5 -----------------------------------------------------------------------------------------------
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of images, one in train and one in val or test, with the same or nearly the same texts."""
+    got = crossleak.overlapping_images(crossleak.image_texts(_t(spark, d, "instances")))
+    return got.select(F.least("e", "t").alias("img_id_lo"), F.greatest("e", "t").alias("img_id_hi"))
+
+
+def p5_overlap(spark: SparkSession, d: str) -> DataFrame:
+    """Per evaluation split and source: texts, texts also in train, images, images also in train."""
+    texts = settle(crossleak.image_texts(_t(spark, d, "instances")))
+    exact = crossleak.exact_overlap(texts)
+    hit = crossleak.overlapping_images(texts).select(F.col("e").alias("img_id")).distinct()
+    first = texts.where("split <> 'train'").groupBy("img_id").agg(F.min("split").alias("split"), F.min("source").alias("source"))
+    images = first.join(hit.withColumn("hit", F.lit(1)), "img_id", "left").groupBy("split", "source").agg(F.count("*").alias("n_images"), F.coalesce(F.sum("hit"), F.lit(0)).alias("n_images_in_train"))
+    images = images.withColumnsRenamed({"split": "_s", "source": "_o"})
+    return exact.join(images, (F.col("split") == F.col("_s")) & F.col("source").eqNullSafe(F.col("_o")), "left").drop("_s", "_o")
+
+
 def queries():
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1].isdigit() and callable(v)}
 
