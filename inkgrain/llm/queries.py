@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkgrain.llm import blocksample, crossleak, lookalike, percentiles, splits
+from inkgrain.llm import blocksample, crossleak, lookalike, mixing, packing, percentiles, splits, tokens
 from inkgrain.session import settle
 
 PS = [0.05, 0.25, 0.5, 0.75, 0.95]
@@ -149,6 +149,45 @@ def p5_overlap(spark: SparkSession, d: str) -> DataFrame:
     return exact.join(images, (F.col("split") == F.col("_s")) & F.col("source").eqNullSafe(F.col("_o")), "left").drop("_s", "_o")
 
 
+# 6 -----------------------------------------------------------------------------------------------
+
+
+def _sized(spark: SparkSession, d: str) -> DataFrame:
+    return settle(tokens.token_counts(_t(spark, d, "documents"), "doc_id", "text", ["source"]))
+
+
+def p6_packed(spark: SparkSession, d: str) -> DataFrame:
+    """The place of every document, or piece of one, in the containers of each capacity."""
+    sized = _sized(spark, d)
+    out = None
+    for r in _t(spark, d, "pack_limits").orderBy("container").collect():
+        part = packing.pack(sized, "doc_id", r["capacity_tokens"]).select(F.lit(r["container"]).alias("container"), "doc_id", "piece", "start", "size", F.col("container").alias("number"))
+        out = part if out is None else out.union(part)
+    return out
+
+
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Containers used, the least possible by volume, and the part of their room that is filled."""
+    room = _t(spark, d, "pack_limits").withColumnRenamed("container", "_c")
+    used = p6_packed(spark, d).groupBy("container", "number").agg(F.sum("size").alias("held"))
+    got = used.groupBy("container").agg(F.count("*").alias("n_containers"), F.sum("held").alias("n_tokens"), F.max("held").alias("fullest"))
+    got = got.join(F.broadcast(room), F.col("container") == F.col("_c")).drop("_c")
+    return got.select("*", F.ceil(F.col("n_tokens") / F.col("capacity_tokens")).alias("least"), F.round(F.col("n_tokens") / F.col("n_containers") / F.col("capacity_tokens"), 6).alias("filled"))
+
+
+# 7 -----------------------------------------------------------------------------------------------
+
+
+def p7_mixed(spark: SparkSession, d: str) -> DataFrame:
+    """The records of every mix with their places."""
+    return mixing.mix(_sized(spark, d), _t(spark, d, "mix_targets"), "doc_id")
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The share of tokens each source reaches in each mix."""
+    return mixing.reached(p7_mixed(spark, d), _t(spark, d, "mix_targets"))
+
+
 def queries():
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1].isdigit() and callable(v)}
 
