@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkgrain.llm import blocksample, crossleak, lookalike, mixing, packing, percentiles, splits, tokens
+from inkgrain.llm import blocksample, crossleak, lookalike, mixing, packing, percentiles, splits, tokens, toxicity
 from inkgrain.session import settle
 
 PS = [0.05, 0.25, 0.5, 0.75, 0.95]
@@ -188,6 +188,28 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.reached(p7_mixed(spark, d), _t(spark, d, "mix_targets"))
 
 
+# 8 -----------------------------------------------------------------------------------------------
+
+
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    return toxicity.score_documents(_t(spark, d, "documents"), _t(spark, d, "rated_texts"), "doc_id", "text", ["source"])
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold abusive, hateful or sexually explicit language."""
+    return _scored(spark, d).where("is_case").select("doc_id")
+
+
+def p8_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The score of every document, with its passages."""
+    return _scored(spark, d).select("doc_id", "source", "n_words", F.round("best", 4).alias("score"), F.round("e_value", 9).alias("e_value"), F.size("passages").alias("n_passages"), "is_case")
+
+
+def p8_rates(spark: SparkSession, d: str) -> DataFrame:
+    """The rate of such documents in every source."""
+    return toxicity.rates(_scored(spark, d), ["source"])
+
+
 def queries():
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1].isdigit() and callable(v)}
 
