@@ -87,6 +87,8 @@ def _points(p) -> list[tuple[float, float]]:
 def overlap(p, q) -> tuple[float, float, float]:
     """Areas of two convex quads and of what they share, by clipping one at the other's edges."""
     a, b = _points(p), _points(q)
+    if not _area(a) or not _area(b):
+        return abs(_area(a)), abs(_area(b)), 0.0
     shape = a
     for (x0, y0), (x1, y1) in zip(b, [*b[1:], b[0]]):
         side = lambda z: (x1 - x0) * (z[1] - y0) - (y1 - y0) * (z[0] - x0)  # noqa: B023, E731

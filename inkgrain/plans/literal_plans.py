@@ -111,7 +111,7 @@ def gain_share(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "predictions").join(instances(spark, d).select("pos", "source"), "pos")
     c = score.axis_counts(score.op_rows(p, ["source", "seed"]), ["source", "seed"]).select("source", "seed", F.col("char_edits").alias("edits")).where("source is not null")
     g = seedstats.gain_share(c.where("seed = 1"), c.where("seed = 2"), ["source"], [])
-    return g.select("source", "edits_before", "edits_after", "fixed", F.round("share", 9).alias("share"))
+    return g.select("source", "edits_before", "edits_after", "fixed", (F.round("share", 9) + 0.0).alias("share"))
 
 
 def _boxes(spark: SparkSession, d: str) -> DataFrame:
@@ -155,7 +155,7 @@ _LITS = ", ".join(f"('x', 1, {i}, '{r}', '{h}')" for i, (r, h) in enumerate(PAIR
 _SCORED = ["char_edits", "char_ref", "base_n", "base_ok", "base_ok_ci", "mod_n", "mod_ok", "tone_n", "tone_ok"]
 SQL = {
     "score_literals": f"with recursive lits(run, seed, pos, ref, hyp) as (values {_LITS}), {_OPS.replace('from predictions)', 'from lits)')}, {_W}, c as (select pos, {_COUNTS} from ops group by 1) select p.pos as i, dist::bigint as word_edits, words as word_ref, " + ", ".join(f"coalesce({x}, 0) as {x}" for x in _SCORED) + " from p join ww using (r, h) left join c on c.pos = p.pos",
-    "gain_share": f"with recursive {_OPS}, {INSTANCES}, c as (select source, seed, count(*) filter (op <> 'eq') as e from ops join (select pos, source from inst) using (pos) where source is not null group by 1, 2) select a.source, a.e as edits_before, b.e as edits_after, a.e - b.e as fixed, round((a.e - b.e)::double / nullif(sum(a.e - b.e) over (), 0), 9) as share from c a join c b on a.source = b.source and a.seed = 1 and b.seed = 2",
+    "gain_share": f"with recursive {_OPS}, {INSTANCES}, c as (select source, seed, count(*) filter (op <> 'eq') as e from ops join (select pos, source from inst) using (pos) where source is not null group by 1, 2) select a.source, a.e as edits_before, b.e as edits_after, a.e - b.e as fixed, round((a.e - b.e)::double / nullif(sum(a.e - b.e) over (), 0), 9) + 0.0 as share from c a join c b on a.source = b.source and a.seed = 1 and b.seed = 2",
     "align_literals": "select * from (values " + ", ".join(f"({i}, '{' '.join(o)}')" for i, o in enumerate(_EXP)) + ") as v(i, ops)",
     "glyph_decompose": f"with {INSTANCES}, gl(ch, base, modifier, tone, is_letter, bears_mod, bears_tone) as (values {glyphs.values_sql()}), c as (select distinct substr(text, i, 1) as ch from inst, unnest(range(1, length(text) + 1)) as t(i)) select gl.* from c join gl using (ch)",
     "ci_overlap_verdict": f"with {_CMP} select arm, metric, round(gain, 6) as gain, round(gh, 6) as gain_half, overlap, improved, abs(gain) > gh as clears from cv",
