@@ -244,7 +244,7 @@ def canonical(df: DataFrame, columns: list[str]) -> DataFrame:
     """*df* with each of *columns* in the one form.  Only rows with an odd value are joined."""
     for c in columns:
         odd = F.col(c).isNotNull() & ~F.col(c).rlike(PLAIN)
-        got = forms(df.select(F.col(c).cast("string").alias("value")).where("value is not null")).withColumnsRenamed({"value": "_value", "form": "_form"})
-        turned = df.where(odd).join(got, F.col(c) == F.col("_value"), "left").withColumn(c, F.coalesce("_form", c)).drop("_value", "_form")
+        got = forms(df.select(F.col(c).cast("string").alias("value")).where("value is not null")).withColumnsRenamed({"value": "__value", "form": "__form"})
+        turned = df.where(odd).join(got, F.col(c) == F.col("__value"), "left").withColumn(c, F.coalesce("__form", c)).drop("__value", "__form")
         df = df.where(~odd | F.col(c).isNull()).unionByName(turned)
     return df

@@ -96,9 +96,17 @@ def fill_rest(left: dict[int, int], capacity: int) -> Runs:
     return runs
 
 
-def plan(histogram: dict[int, int], capacity: int, rounds: int = 100, rate: float = 0.05) -> Runs:
+def effort(capacity: int) -> int:
+    """Rounds for a capacity: pricing takes time as the square of it."""
+    return min(800, max(100, 400_000 // capacity))
+
+
+def plan(histogram: dict[int, int], capacity: int, rounds: int | None = None) -> Runs:
     """Whole numbers of containers and their fillings for ``histogram`` (length -> items, lengths in
-    ``1..capacity``).  No container is over-full and every item has one place."""
+    ``1..capacity``).  No container is over-full and every item has one place.  What the rounds
+    leave uncovered, mostly lengths with few items, is filled by ``fill_rest``."""
+    rounds = rounds or effort(capacity)
+    rate = min(0.5, 160 / rounds)
     lengths = np.array(sorted(n for n, k in histogram.items() if k > 0), dtype=np.int64)
     if not len(lengths):
         return []
@@ -128,7 +136,7 @@ def pieces(sized: DataFrame, key: str, capacity: int) -> DataFrame:
     return cut.select(key, "piece", (F.col("piece") * capacity).alias("start"), F.least(F.lit(capacity), F.col("n_tokens") - F.col("piece") * capacity).alias("size"))
 
 
-def pack(sized: DataFrame, key: str, capacity: int, rounds: int = 100) -> DataFrame:
+def pack(sized: DataFrame, key: str, capacity: int, rounds: int | None = None) -> DataFrame:
     """``sized(key, n_tokens)`` -> ``(key, piece, start, size, container)``, containers numbered from 0.
 
     Every item gets a place, whole unless it alone exceeds ``capacity``; no container holds more.

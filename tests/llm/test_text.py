@@ -1,0 +1,216 @@
+"""Problems 3, 6, 7, 8: fixtures, round trips and held-out accuracy."""
+
+import random
+from fractions import Fraction
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+from inkgrain.llm import lookalike, mixing, packing, tokens, toxicity
+
+RATED = "/root/testdata/sf0.001/rated_texts.parquet"
+
+
+@pytest.mark.parametrize(
+    "odd,form",
+    [("Ｐｈở　bò", "Phở bò"), ("Phở", "Phở"), ("x​e­ m⁠áy", "xe máy"), ("a b", "a b"), ("ХE MÁY", "XE MÁY"), ("Ѕữa", "Sữa"), ("Ðường", "Đường"), ("A‑B", "A-B"), (" a ", " a "), ("Суп дня", "Суп дня"), ("ΦΑΡΜΑΚΕΙΟ", "ΦΑΡΜΑΚΕΙΟ"), ("ХЛЕБ BAKERY", "ХЛЕБ BAKERY"), ("120 m²", "120 m²"), ("50€ ", "50€ "), ("25°C", "25°C"), ("H₂O", "H₂O"), ("미용실", "미용실"), ("酒店", "酒店"), ("Р.13", "P.13"), ("ế", "ế"), ("", "")],
+)
+def test_forms(spark, odd, form):
+    vocab = spark.createDataFrame([("P.13",), ("XE MÁY",), ("Sữa",), ("phở bò",)], "value string")
+    df = spark.createDataFrame([(odd,), (None,), (odd,)], "value string")
+    got = {r["value"]: r["form"] for r in lookalike.forms(df.where("value is not null"), vocab).collect()}
+    assert got.get(odd, odd) == form
+    assert lookalike.forms(spark.createDataFrame([(form,)], "value string"), vocab).where("form <> value").count() == 0
+
+
+def test_a_word_of_the_corpus_decides(spark):
+    vocab = spark.createDataFrame([("XE",), ("XE",), ("uy",)], "value string")
+    got = {r["value"]: r["form"] for r in lookalike.forms(spark.createDataFrame([("ХЕ",), ("СОК",), ("υy",)], "value string"), vocab).collect()}
+    assert got == {"ХЕ": "XE", "СОК": "СОК", "υy": "uy"}
+
+
+def test_trie_takes_the_cheaper_then_the_more_frequent():
+    trie = lookalike.build_trie(["Im", "lm", "uy"], [1, 9, 2])
+    assert lookalike.spell(trie, "Іm") == "Im"  # first choice before frequency
+    assert lookalike.spell(trie, "υ​у") == "uy" and lookalike.spell(trie, "Жm") is None
+
+
+def test_out_of_form_rows(spark):
+    df = spark.createDataFrame([(1, "ab​", "ab"), (1, "ab​", "ab"), (2, None, ""), (None, "ｘ", "x"), (3, "x" * 50_000 + "​", "y")], "pos int, raw_text string, text string").withColumn("value", F.lit(1)).withColumn("token", F.lit(2))
+    got = sorted((tuple(r) for r in lookalike.out_of_form([("t", df, "pos", ["raw_text", "text"])]).select("row_key", "field").collect()), key=str)
+    assert got == sorted([("1", "raw_text"), ("3", "raw_text"), (None, "raw_text")], key=str)
+    assert lookalike.out_of_form([("t", df.limit(0), "pos", ["raw_text"])]).count() == 0
+    same = lookalike.canonical(df.withColumn("form", F.lit("q")), ["raw_text"])
+    assert {r["raw_text"] for r in same.collect()} == {"ab", None, "x", "x" * 50_000} and same.count() == 5 and "form" in same.columns
+
+
+def sized(spark, rows):
+    return spark.createDataFrame(rows, "k long, n_tokens long, size int, rank int, container string")
+
+
+def first_fit(sizes, capacity):
+    """Containers that first fit by falling size needs."""
+    rooms = []
+    for n in sorted(sizes, reverse=True):
+        at = next((i for i, r in enumerate(rooms) if r >= n), None)
+        if at is None:
+            rooms.append(capacity - n)
+        else:
+            rooms[at] -= n
+    return len(rooms)
+
+
+def test_packing(spark):
+    r = random.Random(2)
+    rows = [(i, r.choice([r.randint(1, 300), 37, 37, 37, 0, 256, 700]), 1, 2, "x") for i in range(3000)] + [(9, None, 1, 2, "x"), (9, 5, 1, 2, "x")]
+    got = packing.pack(sized(spark, rows), "k", 256, 60).collect()
+    load = {}
+    for g in got:
+        load[g["container"]] = load.get(g["container"], 0) + g["size"]
+    total = sum(n or 0 for _, n, *_ in rows)
+    assert max(load.values()) <= 256 and sum(load.values()) == total
+    pieces = [min(256, (n or 0) - s) for _, n, *_ in rows for s in range(0, n or 0, 256)]
+    assert len(load) <= 1.01 * first_fit(pieces, 256)
+    parts = {}
+    for g in got:
+        parts.setdefault(g["k"], []).append((g["start"], g["size"]))
+    for k, n, *_ in rows[:3000]:
+        if k != 9:
+            own = sorted(parts[k])
+            assert sum(s for _, s in own) == n and (len(own) == 1 or n > 256) and [a for a, _ in own] == [256 * i for i in range(len(own))]
+    assert len(got) == sum(max(1, -(-(n or 0) // 256)) for _, n, *_ in rows)
+    assert packing.pack(sized(spark, []), "k", 256).count() == 0
+    assert {g["container"] for g in packing.pack(sized(spark, [(1, 0, 1, 2, "x")]), "k", 256).collect()} == {0}
+
+
+def test_plan_places_all_items():
+    for hist, cap in (({3: 7, 5: 4}, 8), ({1: 1}, 1), ({}, 5), ({6: 3, 4: 3}, 10), ({7: 5}, 10)):
+        runs = packing.plan(hist, cap, 30)
+        placed = {}
+        for times, fill in runs:
+            assert sum(n * k for n, k in fill.items()) <= cap
+            for n, k in fill.items():
+                placed[n] = placed.get(n, 0) + times * k
+        assert placed == hist
+    assert sum(t for t, _ in packing.plan({6: 3, 4: 3}, 10, 30)) == 3
+
+
+def test_pricing_is_optimal():
+    import itertools
+
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    for _ in range(20):
+        lengths = np.sort(r.choice(np.arange(2, 12), 4, replace=False))
+        values = r.random(4)
+        fill = packing.price(values, lengths, 20)
+        assert sum(n * k for n, k in fill.items()) <= 20
+        best = max(sum(c * v for c, v in zip(cs, values)) for cs in itertools.product(range(11), repeat=4) if sum(c * n for c, n in zip(cs, lengths)) <= 20)
+        assert sum(values[list(lengths).index(n)] * k for n, k in fill.items()) == pytest.approx(best)
+
+
+def test_token_counts(spark):
+    df = spark.createDataFrame([(1, "hello world"), (2, ""), (3, None), (4, "<|endoftext|> phở " * 20_000)], "k int, t string").withColumn("n", F.lit(1))
+    got = {r["k"]: r["n_tokens"] for r in tokens.token_counts(df, "k", "t", []).collect()}
+    enc = tokens.encoder(f"{tokens.FOLDER}/{tokens.FILE}")
+    assert got == {1: len(enc.encode_ordinary("hello world")), 2: 0, 3: 0, 4: len(enc.encode_ordinary("<|endoftext|> phở " * 20_000))}
+
+
+def test_prefix_sums(spark):
+    df = spark.createDataFrame([(None if i % 3 == 0 else "a", i, i % 4) for i in range(500)], "g string, k int, v int")
+    got = tokens.prefix_sum(df, ["g"], ["k"], F.col("v"), "before", 8).collect()
+    for g in (None, "a"):
+        own = sorted((r["before"], r["v"]) for r in got if r["g"] == g)
+        run = 0
+        for before, v in sorted(own, key=lambda x: (x[0], x[1] > 0)):
+            assert before == run
+            run += v
+
+
+@pytest.mark.parametrize("weights", [[Fraction(1, 2), Fraction(1, 3), Fraction(1, 6)], [Fraction(7, 10), Fraction(3, 10)], [Fraction(1, 97), Fraction(96, 97)]])
+def test_pfair_stays_within_a_block(weights):
+    w = {f"s{i}": x for i, x in enumerate(weights)}
+    slots = mixing.pfair(w, 400)
+    assert len(slots) == 400 and len({s for s, *_ in slots}) == 400
+    done = dict.fromkeys(w, 0)
+    for slot, s, j in slots:
+        assert j == done[s]
+        done[s] += 1
+        assert all(abs(done[x] - w[x] * (slot + 1)) < 1 for x in w)
+
+
+def test_quotas():
+    assert mixing.quotas({"a": 100, "b": 10}, {"a": (0.5, 1), "b": (0.5, 2)}) == {"a": 20, "b": 20}
+    assert mixing.quotas({"a": 100}, {"a": (0.5, 1), "none": (0.5, 1)}) == {"a": 100}
+    assert mixing.quotas({"a": 100, "b": 10}, {"a": (0.5, 1), "b": (0.5, 2)}, 100) == {"b": 20, "a": 80}
+    assert mixing.quotas({}, {"a": (1.0, 1)}) == {}
+
+
+def test_mix(spark):
+    r = random.Random(4)
+    docs = spark.createDataFrame([(i, r.choice(["hot"] * 6 + ["b", "tiny", None]), r.randint(0, 40), 1, "z") for i in range(4000)], "doc_id long, source string, n_tokens long, slot int, quota string")
+    goal = spark.createDataFrame([("m", "hot", 0.5, 1), ("m", "b", 0.3, 3), ("m", "gone", 0.2, 2), ("q", "tiny", 1.0, 2), ("r", "gone", 1.0, 1)], "mix string, source string, target_share double, max_repeats int")
+    mixed = mixing.mix(docs, goal, "doc_id", blocks=400)
+    rows = mixed.collect()
+    used = {}
+    for x in rows:
+        used[x["mix"], x["doc_id"]] = used.get((x["mix"], x["doc_id"]), 0) + 1
+        assert x["slot"] is not None and x["n_tokens"] > 0
+    assert max(used.values()) <= 3 and len(rows) == len({(x["mix"], x["doc_id"], x["copy"]) for x in rows})
+    share = {(x["mix"], x["source"]): x["share"] for x in mixing.reached(mixed, goal).collect()}
+    assert share["m", "hot"] == pytest.approx(0.625, abs=0.01) and share["m", "b"] == pytest.approx(0.375, abs=0.01) and share["m", "gone"] == 0 and share["q", "tiny"] == 1 and share["r", "gone"] == 0
+    at = 0
+    part = sorted((x for x in rows if x["mix"] == "m"), key=lambda x: (x["slot"], x["at"]))
+    total, sofar = sum(x["n_tokens"] for x in part), {"hot": 0, "b": 0}
+    for x in part:
+        sofar[x["source"]] += x["n_tokens"]
+        at += x["n_tokens"]
+        assert abs(sofar["hot"] - 0.625 * at) < 2 * total / 400 + 80
+    assert mixing.mix(docs.limit(0), goal, "doc_id").count() == 0 and mixing.mix(docs, goal.limit(0), "doc_id").count() == 0
+
+
+def test_segments_are_maximal():
+    import numpy as np
+
+    r = random.Random(9)
+    for _ in range(50):
+        s = np.array([r.choice([-2.0, -1.0, 1.0, 2.0, 3.0]) for _ in range(r.randint(0, 40))])
+        got = toxicity.segments(s, 0.5)
+        best = max([sum(s[a:b]) for a in range(len(s)) for b in range(a + 1, len(s) + 1)], default=0)
+        assert max((x for *_, x in got), default=0) == pytest.approx(max(best, 0))
+        for a, b, x in got:
+            assert sum(s[a:b]) == pytest.approx(x) and all(sum(s[a:i]) > 0 for i in range(a + 1, b)) and all(sum(s[i:b]) > 0 for i in range(a + 1, b))
+        assert all(b <= c for (_, b, _), (c, _, _) in zip(got, got[1:]))
+
+
+def test_disguises():
+    d = toxicity.Disguise({"idiot", "bastard", "cock", "animals", "khốn", "nạn"})
+    want = {"іdіоt": "idiot", "baaaastard": "bastard", "c0ck": "cock", "anim.ls": "animals", "b*stard": "bastard", "i d i o t": "idiot", "k​hốn nạn": "khốn nạn", "ＩＤＩＯＴ": "idiot"}
+    for odd, plain in want.items():
+        assert " ".join(d.words_of(odd)) == plain, odd
+    assert d.words_of("12 3.5 P.13") == ["#", "#", "#", "p", "#"]
+
+
+def test_held_out_accuracy(spark):
+    """Learnt from half of the rated texts, told on the texts of the other half that it never saw."""
+    rows = duckdb.connect().execute(f"select item_id, text, label from '{RATED}'").fetchall()
+    train = [r for r in rows if r[0] % 2]
+    known = {r[1] for r in train}
+    rest = [r for r in rows if r[1] not in known]
+    rated = spark.createDataFrame(train, "item_id int, text string, label string")
+    docs = spark.createDataFrame([(r[0], r[1], "s") for r in rest] + [(10_000, None, None), (10_001, "", "s")] + [(20_000 + i, f"Chợ họp bên sông lần {i}. The board was painted on day {i}.", "s") for i in range(200)], "doc_id int, text string, source string").withColumn("ids", F.lit(1)).withColumn("best", F.lit("x"))
+    got = {r["doc_id"]: r for r in toxicity.score_documents(docs, rated, "doc_id", "text", ["source"]).collect()}
+    assert len(got) == docs.count() and not got[10_000]["is_case"] and got[10_001]["e_value"] is None
+    right = sum((got[i]["best"] > 4) == (y != "none") for i, _, y in rest)
+    assert right / len(rest) > 0.9
+    assert sum(got[20_000 + i]["is_case"] for i in range(200)) == 0
+
+
+def test_no_documents(spark):
+    rated = spark.createDataFrame([(1, "you idiot", "abusive"), (2, "you read", "none"), (3, None, None)], "item_id int, text string, label string")
+    docs = spark.createDataFrame([], "doc_id int, text string, source string")
+    assert toxicity.score_documents(docs, rated, "doc_id", "text", ["source"]).count() == 0
+    long = spark.createDataFrame([(1, "fine words here. " * 50_000 + "you fucking idiot, kill yourself", None)], "doc_id int, text string, source string")
+    assert toxicity.score_documents(long, rated, "doc_id", "text", ["source"]).first()["passages"]
