@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from inkgrain.functions import glyphs
 from inkgrain.functions.align import align_ops
 from inkgrain.functions.geometry import quad_overlap
-from inkgrain.operators import detection, score, seedstats
-from inkgrain.plans.common import INSTANCES, instances, table
+from inkgrain.operators import detection, fonts, score, seedstats
+from inkgrain.plans.common import FEATS, INSTANCES, feats, instances, table
 from inkgrain.plans.score_plans import _COUNTS, _OPS, _W
 
 # Per-seed results and curve points used as literals.
@@ -142,7 +142,31 @@ def quad_iou_literals(spark: SparkSession, d: str) -> DataFrame:
     return r.select("i", quad_overlap("a", "b").alias("o")).select("i", F.round("o.iou", 9).alias("iou"), F.round("o.cover", 9).alias("cover"))
 
 
-QUERIES = {f.__name__: f for f in (align_literals, score_literals, glyph_decompose, ci_overlap_verdict, gate_verdict, strongest_comparator, paired_t, curve_invert, worth_range, bank_retention, control_recovery, insertion_attribution, gain_share, iou_match_prf, overlap_antijoin, quad_iou_literals)}
+def charset_generate(spark: SparkSession, d: str) -> DataFrame:
+    """How many marked letters each shape and tone has."""
+    return fonts.accented(spark).groupBy("modifier", "tone").agg(F.count("*").alias("n"))
+
+
+def easy_samples(spark: SparkSession, d: str) -> DataFrame:
+    """The first twenty easy records (the limit is the operator's)."""
+    return fonts.easy_samples(feats(spark, d)).select("pos", "height", "length")
+
+
+def font_gate(spark: SparkSession, d: str) -> DataFrame:
+    """fonts against the characters of the marked alphabet."""
+    all_ = sorted(ord(c) for c, *_ in glyphs.rows())
+    f = spark.createDataFrame([("full", all_, 0), ("plain", list(range(32, 127)), 0), ("drops", all_, 2), ("broken", None, None)], "family string, cmap array<int>, dropped int")
+    return fonts.gate(f, fonts.accented(spark)).select("family", F.size("missing").alias("n_missing"), "verdict").join(f.select("family", F.coalesce(fonts.covers(F.lit("phở bò"), F.col("cmap")), F.lit(False)).alias("covers")), "family")
+
+
+def probe_gap(spark: SparkSession, d: str) -> DataFrame:
+    """Error of the second against the first seed, by run."""
+    p = table(spark, d, "predictions").withColumn("split", F.when(F.col("seed") == 1, "train").otherwise("test"))
+    g = fonts.probe_gap(score.score(p, ["run", "split"]), ["run"])
+    return g.select("run", F.round("train", 9).alias("train"), F.round("test", 9).alias("test"), F.round("gap_pp", 6).alias("gap_pp"))
+
+
+QUERIES = {f.__name__: f for f in (align_literals, score_literals, glyph_decompose, ci_overlap_verdict, gate_verdict, strongest_comparator, paired_t, curve_invert, worth_range, bank_retention, control_recovery, insertion_attribution, gain_share, iou_match_prf, overlap_antijoin, quad_iou_literals, charset_generate, easy_samples, font_gate, probe_gap)}
 
 _V = lambda rows: ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else f"{x}::double" if isinstance(x, float) else str(x) for x in r) + ")" for r in rows)
 _T3 = seedstats.T95[1]
@@ -156,6 +180,10 @@ _SCORED = ["char_edits", "char_ref", "base_n", "base_ok", "base_ok_ci", "mod_n",
 SQL = {
     "score_literals": f"with recursive lits(run, seed, pos, ref, hyp) as (values {_LITS}), {_OPS.replace('from predictions)', 'from lits)')}, {_W}, c as (select pos, {_COUNTS} from ops group by 1) select p.pos as i, dist::bigint as word_edits, words as word_ref, " + ", ".join(f"coalesce({x}, 0) as {x}" for x in _SCORED) + " from p join ww using (r, h) left join c on c.pos = p.pos",
     "gain_share": f"with recursive {_OPS}, {INSTANCES}, c as (select source, seed, count(*) filter (op <> 'eq') as e from ops join (select pos, source from inst) using (pos) where source is not null group by 1, 2) select a.source, a.e as edits_before, b.e as edits_after, a.e - b.e as fixed, round((a.e - b.e)::double / nullif(sum(a.e - b.e) over (), 0), 9) + 0.0 as share from c a join c b on a.source = b.source and a.seed = 1 and b.seed = 2",
+    "charset_generate": "with m(modifier, n) as (values ('none', 12), ('breve', 2), ('circumflex', 6), ('horn', 4)), t(tone) as (values ('ngang'), ('sac'), ('huyen'), ('hoi'), ('nga'), ('nang')) select modifier, tone, n from m, t where not (modifier = 'none' and tone = 'ngang') union all select 'stroke', 'ngang', 2",
+    "easy_samples": f"with {FEATS} select pos, height, length from ft where length >= 4 and height >= 32 and contrast > 0.75 and not isnan(contrast) order by pos limit 20",
+    "font_gate": "select * from (values ('full', 0, 'PASS', true), ('plain', 134, 'FAIL', false), ('drops', 0, 'FAIL', true), ('broken', 0, 'FAIL', false)) as v(family, n_missing, verdict, covers)",
+    "probe_gap": f"with recursive {_OPS}, {_W}, c as (select run, seed, count(*) filter (op <> 'eq')::double / count(*) filter (op <> 'ins') as cer from ops group by 1, 2), g as (select run, max(cer) filter (seed = 1) as train, max(cer) filter (seed = 2) as test from c group by 1) select run, round(train, 9) as train, round(test, 9) as test, round((round(test, 9) - round(train, 9)) * 100, 6) as gap_pp from g",
     "align_literals": "select * from (values " + ", ".join(f"({i}, '{' '.join(o)}')" for i, o in enumerate(_EXP)) + ") as v(i, ops)",
     "glyph_decompose": f"with {INSTANCES}, gl(ch, base, modifier, tone, is_letter, bears_mod, bears_tone) as (values {glyphs.values_sql()}), c as (select distinct substr(text, i, 1) as ch from inst, unnest(range(1, length(text) + 1)) as t(i)) select gl.* from c join gl using (ch)",
     "ci_overlap_verdict": f"with {_CMP} select arm, metric, round(gain, 6) as gain, round(gh, 6) as gain_half, overlap, improved, abs(gain) > gh as clears from cv",

@@ -149,3 +149,17 @@ def test_coverage_rules(spark):
     made = spark.createDataFrame([("contrast", 1.2, 2.0, 3.0, 4.0, 5.0), ("edge", 1.0, 2.0, 2.0, 4.0, 9.0)], cols)
     got = {r["stat"]: tuple(r)[1:] for r in audit.coverage_audit(real, made, ["contrast"], ["edge"], []).collect()}
     assert got == {"contrast": (True, True, False, True), "edge": (True, True, True, False)}
+
+
+def test_charsets_and_fonts(spark):
+    from inkgrain.operators import fonts
+
+    rows = fonts.stacked(spark).collect()
+    assert len(rows) == 60 and ("ế", "ê", "é") in {tuple(r) for r in rows}
+    v = fonts.gate(spark.createDataFrame([("a", [ord("x")], 0)], "family string, cmap array<int>, dropped int"), spark.createDataFrame([("x",)], "ch string"))
+    assert v.first()["verdict"] == "PASS"
+    sel = spark.createDataFrame([("a",)], "family string")
+    assert fonts.checked_selection(sel, v).count() == 1
+    with pytest.raises(Exception, match="not passed: z"):
+        fonts.checked_selection(spark.createDataFrame([("z",)], "family string"), v).collect()
+    assert fonts.patch_weights(spark.createDataFrame([(0.5,)], "edge_density double")).first()["weight"] == pytest.approx(0.65)
