@@ -91,14 +91,19 @@ def exact_percentiles(df: DataFrame, dims: dict[str, Column], columns: list[str]
             run = F.aggregate("ks", F.struct((F.col("rank") - F.col("below")).alias("left"), F.lit(None).cast("long").alias("key")), lambda a, x: F.struct((a["left"] - x["w"]).alias("left"), F.when(a["key"].isNull() & (a["left"] < x["w"]), x["key"]).otherwise(a["key"]).alias("key")))
             done = done.union(won.select(*by, "rank", run["key"].alias("key")))
             break
+        # ranks of a group often share an interval: it is counted once
+        spans = todo.select(*by, "lo", "hi", "below").distinct()
         width = F.greatest(F.lit(1), F.ceil(((F.col("hi").cast("double") - F.col("lo").cast("double")) + 1) / size)).cast("long")
         # longs of unlike sign may lie too far apart for a long; doubles order them as well
         across = F.floor((F.col("key").cast("double") - F.col("lo").cast("double")) / F.col("width"))
         cell = F.when((F.col("lo") < 0) & (F.col("hi") >= 0), across).otherwise(F.floor((F.col("key") - F.col("lo")) / F.col("width")))
-        cells = near(todo).withColumn("width", width).groupBy(*by, "rank", cell.alias("cell")).agg(F.sum("w").alias("inside"), F.min("key").alias("lo"), F.max("key").alias("hi"), F.first("below").alias("base"))
-        upto = Window.partitionBy(*by, "rank").orderBy("cell")
+        cells = near(spans).withColumn("width", width).groupBy(*by, F.col("lo").alias("lo0"), F.col("hi").alias("hi0"), cell.alias("cell")).agg(F.sum("w").alias("inside"), F.min("key").alias("lo"), F.max("key").alias("hi"), F.first("below").alias("base"))
+        upto = Window.partitionBy(*by, "lo0", "hi0").orderBy("cell")
         cells = cells.withColumn("cum", F.col("base") + F.sum("inside").over(upto)).withColumn("below", F.col("cum") - F.col("inside"))
-        todo = settle(cells.where("below <= rank and rank < cum").select(*by, "lo", "hi", "rank", "inside", "below"))
+        want_rank = todo.select(*[F.col(k).alias(f"_{k}") for k in by], F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), "rank")
+        same = (F.col("dim") == F.col("_dim")) & F.col("grp").eqNullSafe(F.col("_grp")) & (F.col("metric") == F.col("_metric")) & (F.col("lo0") == F.col("_lo")) & (F.col("hi0") == F.col("_hi"))
+        picked = cells.join(F.broadcast(want_rank) if small else want_rank, same & (F.col("below") <= F.col("rank")) & (F.col("rank") < F.col("cum")))
+        todo = settle(picked.select(*by, "lo", "hi", "rank", "inside", "below"))
     found = settle(done).select(*by, "rank", key_value(F.col("key")).alias("v"))
     a, b = found.withColumnsRenamed({"rank": "r", "v": "v0"}), found.withColumnsRenamed({"rank": "r1", "v": "v1"})
     out = want.withColumn("r1", F.least(F.col("r") + 1, F.col("n") - 1))
