@@ -210,9 +210,16 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
     return toxicity.rates(_scored(spark, d), ["source"])
 
 
+_P1 = r"""with recursive e as (select distinct img_id, regexp_extract(regexp_extract(regexp_replace(img_path, '(?s)\?.*$', ''), '([^/\\]*)$', 1), '(?i)^\s*im0*([0-9]+)', 1) as k from instances),
+p as (select distinct a.img_id as x, b.img_id as y from e a join e b on a.k = b.k and a.img_id <> b.img_id where a.k <> ''),
+r as (select x, y from p union select r.x, p.y from r join p on r.y = p.x)
+select x as img_id_lo, y as img_id_hi from r where x < y"""
+_P2G = f"with " + ", ".join(_SEEN.format(where=f"where delivery <= {d}").replace("seen as", f"seen{d} as", 1) for d in range(1, 8)) + " " + " union all ".join(f"select {d} as upto, count(*) filter (list_contains(got8, seq % 80)) as chosen, 0::bigint as lost from ({blocksample.floyd_sql('block', 80, 8, 's1').replace('from seen', f'from seen{d}')})" for d in range(1, 8))
+
+
 def queries():
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1].isdigit() and callable(v)}
 
 
 def oracle_sql():
-    return {"p2_sample": _P2, "p4_percentiles": _P4}
+    return {"p1_found": _P1, "p2_sample": _P2, "p2_growth": _P2G, "p4_percentiles": _P4, "p4_combined": _P4C}
