@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkgrain.operators.sampling import draw
+from inkgrain.operators.sampling import running
 
 BLIND, CHECK = 0.12, 0.10
 EDITED, UNREADABLE = ("edit", "blind_typed"), "unreadable"
@@ -53,10 +53,10 @@ def second_pass_queue(sheet: DataFrame, seed: str, key: str = "idx", share: floa
     judged = sheet.where(F.col("action1") != "")
     sure = judged.where((F.col("action1") == "edit") | (F.col("blind") == "1"))
     accepted = judged.where((F.col("action1") == "accept") & (F.col("blind") != "1"))
-    take = F.greatest(F.lit(1), F.bround(F.count("*").over(Window.partitionBy()) * share))
-    ranked = accepted.select(key, F.row_number().over(Window.orderBy(draw(seed, F.col(key)), key)).alias("_r"), take.alias("_k")).where("_r <= _k")
+    size = F.broadcast(accepted.agg(F.greatest(F.lit(1), F.bround(F.count("*") * share)).alias("_k")))
+    ranked = running(accepted.select(key), key, seed, "_r").crossJoin(size).where("_r < _k")
     rows = sure.select(key).union(ranked.select(key)).distinct()
-    return rows.withColumn("rank", F.row_number().over(Window.orderBy(draw(f"{seed}/order", F.col(key)), key)))
+    return running(rows, key, f"{seed}/order", "rank").withColumn("rank", F.col("rank") + 1)
 
 
 def pending(sheet: DataFrame, queue: DataFrame, key: str = "idx") -> DataFrame:

@@ -28,6 +28,20 @@ def uniform(seed: str, *key: Column) -> Column:
     return F.conv(F.substring(draw(seed, *key), 1, 8), 16, 10).cast("double") / 4294967296.0
 
 
+def running(rows: DataFrame, key: str, seed: str, name: str, value: Column | None = None) -> DataFrame:
+    """*rows* with ``name``: the sum of *value* (1 by default, which makes it a rank from 0) over the
+    rows before it in random order.
+
+    The order is that of the hash, cut by its first three digits into 4096 ranges; ranges are summed
+    first, so no task sorts all rows.
+    """
+    value = F.lit(1) if value is None else value
+    cut = rows.withColumn("_h", draw(seed, F.col(key))).withColumn("_b", F.substring("_h", 1, 3)).withColumn("_v", value)
+    sums = cut.groupBy("_b").agg(F.sum("_v").alias("_s")).withColumn("_o", F.coalesce(F.sum("_s").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select(F.col("_b").alias("_c"), "_o")
+    inside = F.coalesce(F.sum("_v").over(Window.partitionBy("_b").orderBy("_h", key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return cut.withColumn(name, inside).join(F.broadcast(sums), F.col("_b") == F.col("_c")).withColumn(name, F.col(name) + F.col("_o")).drop("_h", "_b", "_v", "_c", "_o")
+
+
 def _rank(by: list[str], seed: str, key: str) -> Column:
     w = Window.partitionBy(*by).orderBy(draw(seed, F.col(key)), F.col(key))
     return F.row_number().over(w)
@@ -86,7 +100,7 @@ def take_n(rows: DataFrame, key: str, n: int, seed: str) -> DataFrame:
     """*n* rows at random, all of them where n is not positive or not under their number."""
     if n <= 0:
         return rows
-    return rows.withColumn("_h", draw(seed, F.col(key))).orderBy("_h", key).limit(n).drop("_h")
+    return running(rows, key, seed, "_r").where(F.col("_r") < n).drop("_r")
 
 
 def token_bank(rows: DataFrame, text: str, vocab: str) -> DataFrame:
@@ -162,8 +176,8 @@ def synthetic_draws(n: int, bank: DataFrame, tokens: DataFrame, seed: str, spark
     u = lambda k: uniform(f"{seed}/{k}", F.col("i"))
     letter = F.substring(F.lit(LETTERS), F.floor(u("l") * len(LETTERS)).cast("int") + 1, F.lit(1))
     single = F.when(u("d") < DIGIT, F.floor(u("n") * 10).cast("string")).otherwise(F.when(u("u") < 0.68, F.upper(letter)).otherwise(letter))
-    scene = bank.select("text").distinct().withColumn("_r", F.row_number().over(Window.orderBy(draw(seed, F.col("text")), "text")) - 1)
-    words = tokens.withColumn("_to", F.sum("cnt").over(Window.orderBy(F.col("cnt").desc(), "token"))).withColumn("_from", F.col("_to") - F.col("cnt"))
+    scene = running(bank.select("text").distinct(), "text", seed, "_r")
+    words = running(tokens, "token", seed, "_from", F.col("cnt")).withColumn("_to", F.col("_from") + F.col("cnt"))
     n_scene, n_words = scene.count(), words.agg(F.max("_to")).first()[0] or 0
     rows = i.withColumn("kind", F.when((u("k") < SINGLE) | F.lit(not n_scene and not n_words), "single").when((u("b") < BANK) & F.lit(n_scene > 0) | F.lit(not n_words), "scene").otherwise("word"))
     rows = rows.withColumn("_pick", F.when(F.col("kind") == "scene", F.floor(u("s") * n_scene)).when(F.col("kind") == "word", F.floor(u("w") * n_words)))
