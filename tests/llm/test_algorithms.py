@@ -186,6 +186,18 @@ def test_overlap_against_brute_force(spark):
     assert crossleak.overlapping_images(empty).count() == 0 and crossleak.exact_overlap(empty).count() == 0
 
 
+def test_texts_without_a_hash_partner_take_no_probes(spark):
+    """Six of eight texts match, one of them without a common hash; the others are found by the five."""
+    same = ["cà phê", "bánh mì", "sửa xe máy", "nhà thuốc tây", "điện thoại"]
+    texts = {0: [*same, "phở bò tái nạm gầu", "alpha omega", "kilo tango"], 1: [*same, "phờ bò tải nạm gâu", "hàng rào sắt", "quán ốc đêm"]}
+    assert crossleak.matched(texts[0], texts[1], 6)
+    rows = [(i, [i, j], 10 * i + j, 1, t, True, ["train", "val"][i], "s", 1, "x") for i, ts in texts.items() for j, t in enumerate(ts)]
+    for i in range(2, 12):  # other training images hold one of the equal texts each
+        rows += [(i, [i, j], 10 * i + j, 1, t, True, "train", "s", 1, "x") for j, t in enumerate([same[i % 5], *(f"{w}{i}" for w in ("mộtba", "haibốn", "nămsáu", "bảytám", "chínmười", "trămnghìn", "triệutỷ"))])]
+    got = crossleak.overlapping_images(crossleak.image_texts(images(spark, rows))).collect()
+    assert [tuple(x) for x in got] == [(1, 0)]
+
+
 def test_matching_is_largest():
     # the greedy choice (equal first) would match one pair only
     assert crossleak.matched(["abcde", "abcdx"], ["abcde", "abcdf"], 2)
