@@ -1,5 +1,6 @@
 """Problems 3, 6, 7, 8: fixtures, round trips and held-out accuracy."""
 
+import math
 import random
 from fractions import Fraction
 
@@ -208,6 +209,25 @@ def test_held_out_accuracy(spark):
     assert sum(got[20_000 + i]["is_case"] for i in range(200)) == 0
 
 
+def test_copies_of_an_offence_do_not_make_it_harmless(spark):
+    """One offending text is a third of all rows."""
+    rated = spark.createDataFrame(duckdb.connect().execute(f"select item_id, text, label from '{RATED}'").fetchall(), "item_id int, text string, label string")
+    words = "the market by river opens at seven and closes late board painted new letters shop sells bread tea fish road was repaired last year people walk there often in spring".split()
+    r = random.Random(3)
+    rows = [(i, " ".join(r.choices(words, k=30)) + ".") for i in range(6000)] + [(10_000 + i, "Shut up you moron, only an imbecile would say that, you filthy lowlife.") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string").withColumn("source", F.lit("s"))
+    got = toxicity.score_documents(docs, rated, "doc_id", "text", ["source"]).where("is_case").groupBy(F.col("doc_id") >= 10_000).count().collect()
+    found = {copy: n for copy, n in got}
+    assert found[True] == 3000 and found.get(False, 0) <= 2 * toxicity.E_LIMIT * 6000
+
+
+def test_prevalence_does_not_move_the_constants(spark):
+    r = random.Random(5)
+    law = [(200, (math.log(200 * 0.02) - math.log(-math.log(r.random()))) / 0.8) for _ in range(6000)]
+    got = [toxicity.calibrate(spark.createDataFrame(law + [(200, r.uniform(15, 60)) for _ in range(n)], "n_words int, best double")) for n in (0, 5000)]
+    assert got[0] == pytest.approx(got[1], rel=0.01) and got[0][0] == pytest.approx(0.8, abs=0.1)
+
+
 def test_no_documents(spark):
     rated = spark.createDataFrame([(1, "you idiot", "abusive"), (2, "you read", "none"), (3, None, None)], "item_id int, text string, label string")
     docs = spark.createDataFrame([], "doc_id int, text string, source string")
