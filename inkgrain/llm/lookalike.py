@@ -61,8 +61,9 @@ def _ranges(letters: str) -> str:
     return "".join(chr(a) if a == b else f"{chr(a)}-{chr(b)}" for a, b in out)
 
 
-#: Values all of whose characters match are in form.
-PLAIN = f"^[ -~{_ranges(VIETNAMESE)}]*$"
+#: Values all of whose characters match are in form.  (For Java, whose ``$`` also matches before a final
+#: line end; Python's re has ``\Z`` for it.)
+PLAIN = rf"^[ -~{_ranges(VIETNAMESE)}]*\z"
 _SHAPES, _TONE_MARKS = "̛̂̆", "̣̀́̃̉"
 
 

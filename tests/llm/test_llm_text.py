@@ -46,6 +46,13 @@ def test_out_of_form_rows(spark):
     assert {r["raw_text"] for r in same.collect()} == {"ab", None, "x", "x" * 50_000} and same.count() == 5 and "form" in same.columns
 
 
+def test_a_final_line_end_is_out_of_form(spark):
+    ends = ["\n", "\r", "\r\n", "\x85", "\u2028", "\u2029"]
+    df = spark.createDataFrame([(i, f"phở{e}") for i, e in enumerate([*ends, ""])], "pos int, raw_text string")
+    got = {r["row_key"] for r in lookalike.out_of_form([("t", df, "pos", ["raw_text"])]).collect()}
+    assert got == {str(i) for i in range(len(ends))}
+
+
 def sized(spark, rows):
     return spark.createDataFrame(rows, "k long, n_tokens long, size int, rank int, container string")
 
