@@ -186,6 +186,21 @@ def test_overlap_against_brute_force(spark):
     assert crossleak.overlapping_images(empty).count() == 0 and crossleak.exact_overlap(empty).count() == 0
 
 
+def test_one_edit_leaves_a_common_hash(spark):
+    r = random.Random(2)
+    pairs = [("abcd", "abcde"), ("abc def g", "abc def gh"), ("hẹn gặp6lại", "hẹn gặp lại"), ("rửa xe6phục vụ", "rửa xe phục vụ"), ("rửa xephục vụ", "rửa xe phục vụ")]
+    while len(pairs) < 400:
+        a = "".join(r.choices("abcdeghi   ", k=r.randint(5, 30)))
+        i, ch = r.randrange(len(a)), r.choice("xyz ")
+        b = r.choice([a[:i] + ch + a[i + 1 :], a[:i] + ch + a[i:], a[:i] + a[i + 1 :]])
+        a, b = " ".join(a.split()), " ".join(b.split())
+        if len(a) >= 5 and len(b) >= 4 and a != b and crossleak.near(a, b) and abs(len(a) - len(b)) < 2:
+            pairs.append((a, b))
+    df = spark.createDataFrame(pairs, "a string, b string")
+    keys = lambda c: F.transform(crossleak.hashes(crossleak.squash(F.col(c))), lambda h: h["key"])
+    assert df.where(~F.arrays_overlap(keys("a"), keys("b"))).collect() == []
+
+
 def test_texts_without_a_hash_partner_take_no_probes(spark):
     """Six of eight texts match, one of them without a common hash; the others are found by the five."""
     same = ["cà phê", "bánh mì", "sửa xe máy", "nhà thuốc tây", "điện thoại"]
