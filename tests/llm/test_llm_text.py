@@ -194,26 +194,97 @@ def test_segments_are_maximal():
 
 
 def test_disguises():
-    d = toxicity.Disguise({"idiot", "bastard", "cock", "animals", "khốn", "nạn"})
+    d = toxicity.Disguise({"idiot", "bastard", "cock", "animals", "khốn", "nạn", "fuck", "bitch", "brainless", "hardcore", "trash"})
     want = {"іdіоt": "idiot", "baaaastard": "bastard", "c0ck": "cock", "anim.ls": "animals", "b*stard": "bastard", "i d i o t": "idiot", "k​hốn nạn": "khốn nạn", "ＩＤＩＯＴ": "idiot"}
+    want |= {"f***": "fuck", "b****": "bitch", "*uck": "fuck", "br@1nl3$$": "brainless", "h@rdc0r3": "hardcore", "+r@sh": "trash", "f.u.c.k": "fuck", "C++ a+b": "c a b", "*good* do-not-care": "good do not care", "me@mail.com": "me mail com"}
     for odd, plain in want.items():
         assert " ".join(d.words_of(odd)) == plain, odd
     assert d.words_of("12 3.5 P.13") == ["#", "#", "#", "p", "#"]
 
 
-def test_held_out_accuracy(spark):
-    """Learnt from half of the rated texts, told on the texts of the other half that it never saw."""
-    rows = duckdb.connect().execute(f"select item_id, text, label from '{RATED}'").fetchall()
-    train = [r for r in rows if r[0] % 2]
-    known = {r[1] for r in train}
-    rest = [r for r in rows if r[1] not in known]
-    rated = spark.createDataFrame(train, "item_id int, text string, label string")
-    docs = spark.createDataFrame([(r[0], r[1], "s") for r in rest] + [(10_000, None, None), (10_001, "", "s")] + [(20_000 + i, f"Chợ họp bên sông lần {i}. The board was painted on day {i}.", "s") for i in range(200)], "doc_id int, text string, source string").withColumn("ids", F.lit(1)).withColumn("best", F.lit("x"))
-    got = {r["doc_id"]: r for r in toxicity.score_documents(docs, rated, "doc_id", "text", ["source"]).collect()}
-    assert len(got) == docs.count() and not got[10_000]["is_case"] and got[10_001]["e_value"] is None
-    right = sum((got[i]["best"] > 4) == (y != "none") for i, _, y in rest)
-    assert right / len(rest) > 0.9
-    assert sum(got[20_000 + i]["is_case"] for i in range(200)) == 0
+def wordings(rows):
+    """A number for every rated text; those with 0.45 of their words in common share it."""
+    import re
+
+    words = [set(re.findall(r"[^\W\d_]+", re.sub(r"[\"“«][^\"”»]*[\"”»]", "", t).lower())) for _, t, _ in rows]
+    root = list(range(len(rows)))
+    for i, a in enumerate(words):
+        for j in range(i):
+            if len(a & words[j]) >= 0.45 * len(a | words[j]):
+                x, y = root[i], root[j]
+                root = [y if r == x else r for r in root]
+    return root
+
+
+def test_the_rule_on_wordings_it_never_saw(spark):
+    """Learnt from half of the wordings of the rated texts, the shipped rule tells those of the other half."""
+    rows = [r for r in duckdb.connect().execute(f"select item_id, text, label from '{RATED}' where text is not null order by 1").fetchall()]
+    root = wordings(rows)
+    order = sorted(set(root))
+    right = hit = bad = n = 0
+    background = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").selectExpr("cast(doc_id as int) + 100000 as doc_id", "text", "'s' as source")
+    for half in (0, 1):
+        held = {r for i, r in enumerate(order) if i % 2 == half}
+        train = [x for x, r in zip(rows, root) if r not in held]
+        rest = [x for x, r in zip(rows, root) if r in held]
+        rated = spark.createDataFrame(train, "item_id int, text string, label string")
+        docs = spark.createDataFrame([(r[0], r[1], "s") for r in rest] + [(10_000, None, None), (10_001, "", "s")], "doc_id int, text string, source string").union(background).withColumn("ids", F.lit(1)).withColumn("best", F.lit("x"))
+        got = {r["doc_id"]: r for r in toxicity.score_documents(docs, rated, "doc_id", "text", ["source"]).where("doc_id < 100000").collect()}
+        assert len(got) == len(rest) + 2 and not got[10_000]["is_case"] and got[10_001]["e_value"] is None and got[10_000]["e_value"] is None
+        right += sum(got[i]["is_case"] == (y != "none") for i, _, y in rest)
+        hit += sum(got[i]["is_case"] for i, _, y in rest if y != "none")
+        bad += sum(y != "none" for *_, y in rest)
+        n += len(rest)
+    print(f"accuracy {right / n:.3f}, recall {hit / bad:.3f}, of harmless ones {(n - bad - right + hit) / (n - bad):.3f} taken for cases")
+    assert right / n > 0.9 and hit / bad > 0.85
+
+
+def test_passages_add_up():
+    one = toxicity.e_value([12.0], 200, 0.7, 0.01)
+    assert one == pytest.approx(2 * 0.01 * 200 * math.exp(-0.7 * 12))
+    assert toxicity.e_value([12.0, 11.0, 11.0], 200, 0.7, 0.01) < one
+    assert toxicity.e_value([12.0, 0.1, 0.1], 200, 0.7, 0.01) == one
+    assert toxicity.e_value([0.0], 5, 0.7, 0.01) == toxicity.e_value([], 20, 0.7, 0.01)
+
+
+def test_scores_are_those_of_the_two_models():
+    """The sparse form against the two conditional probabilities written out."""
+    import numpy as np
+
+    rated = [(["you", "idiot", "you"], True), (["the", "idiot", "board"], False)]
+    ids = {".": 1, "you": 2, "idiot": 3, "the": 4, "board": 5}
+    ids |= {w: i + 6 for i, w in enumerate(sorted({f for s in toxicity._seeds() for w in s for f in (w, toxicity.bare(w))} - set(ids)))}
+    k = toxicity.size_of(ids)
+    singles = np.full(k, 10.0)
+    pairs = {4 * k + 3: 5e5, 0: 1e6}
+    s = toxicity.fit(ids, rated, singles, pairs, 3e6)
+    walk = np.array([2, 3, 2, 4, 3, 0, 0, 5, 1, 3])
+    share = toxicity.CORPUS / (3e6 + toxicity.UNSEEN)
+    ben = {(4, 3): 5.0, (3, 5): 5.0, (1, 4): 5.0, (5, 1): 5.0}
+    ben[4, 3] += share * 5e5 - toxicity.RARE
+    ben[0, 0] = share * 1e6 - toxicity.RARE
+    base = 1 / k
+
+    def harmless(a, w):
+        return (ben.get((a, w), 0) + toxicity.BETA * base) / (sum(n for (x, _), n in ben.items() if x == a) + toxicity.BETA)
+
+    own = np.exp(s.own) * base  # shares of words in offending texts
+    assert own.sum() == pytest.approx(1, abs=1e-4)
+    got = dict(zip(zip([1, *walk[:-1]], walk), s.of(walk)))
+    for (a, w), n in {(2, 3): 1.0, (4, 3): 0.0, (3, 2): 1.0}.items():
+        offending = (n + toxicity.BETA * own[w]) / (sum_row(rated, ids, a) + toxicity.BETA)
+        assert got[a, w] == pytest.approx(math.log(offending / harmless(a, w)), abs=1e-3)
+    assert got[2, 3] > 0 > got[4, 3]
+
+
+def sum_row(rated, ids, word):
+    """Offending pairs that begin with *word*, seeds included."""
+    n = sum(1 for ws, y in rated if y for a in ws if ids[a] == word)
+    for s in toxicity._seeds():
+        for form, w in ((s, toxicity.SEED), ([toxicity.bare(x) for x in s], 0.3 * toxicity.SEED)):
+            if (form != s or w == toxicity.SEED) and len(form) > 1:
+                n += w * sum(ids[x] == word for x in form[:-1])
+    return n
 
 
 def test_copies_of_an_offence_do_not_make_it_harmless(spark):
