@@ -280,9 +280,9 @@ def test_scores_are_those_of_the_two_models():
 def sum_row(rated, ids, word):
     """Offending pairs that begin with *word*, seeds included."""
     n = sum(1 for ws, y in rated if y for a in ws if ids[a] == word)
-    for s in toxicity._seeds():
-        for form, w in ((s, toxicity.SEED), ([toxicity.bare(x) for x in s], 0.3 * toxicity.SEED)):
-            if (form != s or w == toxicity.SEED) and len(form) > 1:
+    for s, times in [(s, toxicity.SEED) for s in toxicity._phrases(toxicity.SEEDS)] + [(s, toxicity.MILD) for s in toxicity._phrases(toxicity.MILD_SEEDS)]:
+        for form, w in ((s, times), ([toxicity.bare(x) for x in s], 0.3 * times)):
+            if (form != s or w == times) and len(form) > 1:
                 n += w * sum(ids[x] == word for x in form[:-1])
     return n
 
