@@ -239,6 +239,18 @@ def test_the_rule_on_wordings_it_never_saw(spark):
     assert right / n > 0.9 and hit / bad > 0.85
 
 
+def test_both_ways_to_read_a_text_agree(spark):
+    """Texts that the JVM splits give the words that Python reads."""
+    words, lists = toxicity.learn(duckdb.connect().execute(f"select text, label from '{RATED}' where text is not null").df())
+    ids = toxicity.table_of(lists)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(-1, ""), (-2, "!"), (-3, "\n\nĐừng 12 xx_yy…  \"A!\" women?"), (-4, "dân nhập cư và old folk. F*ck"), (-5, "b  c\td."), (-6, None)], "doc_id long, text string"))
+    got = {r["doc_id"]: r["ids"] for r in toxicity.encoded(docs, "doc_id", "text", [], ids, words).collect()}
+    reader = toxicity.Disguise(words)
+    for r in docs.collect():
+        want = [ids.get(w, toxicity.OTHER) for w in reader.words_of(r["text"])] + [toxicity.END] if r["text"] else []
+        assert got[r["doc_id"]] == want, r
+
+
 def test_passages_add_up():
     one = toxicity.e_value([12.0], 200, 0.7, 0.01)
     assert one == pytest.approx(2 * 0.01 * 200 * math.exp(-0.7 * 12))
@@ -260,7 +272,7 @@ def test_scores_are_those_of_the_two_models():
     s = toxicity.fit(ids, rated, singles, pairs, 3e6)
     walk = np.array([2, 3, 2, 4, 3, 0, 0, 5, 1, 3])
     share = toxicity.CORPUS / (3e6 + toxicity.UNSEEN)
-    ben = {(4, 3): 5.0, (3, 5): 5.0, (1, 4): 5.0, (5, 1): 5.0}
+    ben = dict.fromkeys([(4, 3), (3, 5), (1, 4), (5, 1)], toxicity.HARMLESS)
     ben[4, 3] += share * 5e5 - toxicity.RARE
     ben[0, 0] = share * 1e6 - toxicity.RARE
     base = 1 / k
