@@ -240,7 +240,7 @@ def test_the_rule_on_wordings_it_never_saw(spark):
 
 
 def test_both_ways_to_read_a_text_agree(spark):
-    """Texts that the JVM splits give the words that Python reads."""
+    """Texts read by pieces give the words of the whole texts."""
     words, lists = toxicity.learn(duckdb.connect().execute(f"select text, label from '{RATED}' where text is not null").df())
     ids = toxicity.table_of(lists)
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(-1, ""), (-2, "!"), (-3, "\n\nĐừng 12 xx_yy…  \"A!\" women?"), (-4, "dân nhập cư và old folk. F*ck"), (-5, "b  c\td."), (-6, None)], "doc_id long, text string"))
