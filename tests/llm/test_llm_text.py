@@ -255,7 +255,8 @@ def test_passages_add_up():
     one = toxicity.e_value([12.0], 200, 0.7, 0.01)
     assert one == pytest.approx(2 * 0.01 * 200 * math.exp(-0.7 * 12))
     assert toxicity.e_value([12.0, 11.0, 11.0], 200, 0.7, 0.01) < one
-    assert toxicity.e_value([12.0, 0.1, 0.1], 200, 0.7, 0.01) == one
+    assert toxicity.e_value([12.0, 3.0, 3.0], 200, 0.7, 0.01) == one  # not significant
+    assert toxicity.e_value([12.0] + [0.8] * 30, 60, 0.7, 0.01) == toxicity.e_value([12.0], 60, 0.7, 0.01)  # fewer than one expected
     assert toxicity.e_value([0.0], 5, 0.7, 0.01) == toxicity.e_value([], 20, 0.7, 0.01)
 
 
