@@ -222,7 +222,7 @@ def test_the_rule_on_wordings_it_never_saw(spark):
     root = wordings(rows)
     order = sorted(set(root))
     right = hit = bad = n = 0
-    background = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").selectExpr("cast(doc_id as int) + 100000 as doc_id", "text", "'s' as source")
+    background = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").selectExpr("cast(doc_id as int) + 100000 as doc_id", "text", "'s' as source")
     for half in (0, 1):
         held = {r for i, r in enumerate(order) if i % 2 == half}
         train = [x for x, r in zip(rows, root) if r not in held]
