@@ -1,17 +1,18 @@
 """Problem 3: one form for text that looks the same.
 
-Method: tries over the corpus' own words are traversed with a weighted edit automaton that takes
-look-alikes and ignorables at no cost (second-choice look-alikes at a small one); the cheapest,
-then most frequent spelling is the canonical one, and tokens that match no word are normalized by
-table.
-
-Only values that hold a character outside plain ASCII and composed Vietnamese reach Python; the
-rest is in form by a pattern the JVM checks.  Words and odd tokens meet by the hash of a skeleton
-that all spellings of one look share, so tries are small, balanced and never broadcast.
+Method: every token with a character outside plain ASCII and composed Vietnamese traverses a trie over the
+corpus' own words with a weighted edit automaton that takes look-alikes, wide and other drawn forms, split-off
+accents and ignorables at no cost (second-choice look-alikes at a small one); the cheapest, then most frequent
+spelling is the canonical one, and tokens that match no word are normalized by table.
+
+Only values that hold such a character reach Python; the rest is in form by a pattern the JVM checks.
+Words and odd tokens meet by the hash of a skeleton that all spellings of one look share, so tries are
+small, balanced and never broadcast.
 """
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -64,6 +65,9 @@ def _ranges(letters: str) -> str:
 #: Values all of whose characters match are in form.  (For Java, whose ``$`` also matches before a final
 #: line end; Python's re has ``\Z`` for it.)
 PLAIN = rf"^[ -~{_ranges(VIETNAMESE)}]*\z"
+_IN_FORM = re.compile(PLAIN.replace(r"\z", r"\Z"))
+#: What stands between tokens: every space and line end of Unicode.
+_GAP = re.compile("[ \t\n\r\x0b\x0c\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _SHAPES, _TONE_MARKS = "̛̂̆", "̣̀́̃̉"
 
 
@@ -144,53 +148,76 @@ def skeleton(token: str) -> str:
 
 
 def lookups(text: str) -> list[str]:
-    """Tokens of a plain text that hold look-alikes of another script."""
-    return [t for t in dict.fromkeys(text.split(" ")) if t and _letters(t)[1]]
+    """The tokens of a text, as they are written, that are not plain and not of another script."""
+    out = []
+    for t in dict.fromkeys(_GAP.split(text)):
+        if t and not _IN_FORM.match(t):
+            latin, alike, other = _letters(plain(t))
+            if not (other and latin <= alike + other):
+                out.append(t)
+    return out
 
 
 def build_trie(words: list[str], counts: list[int]) -> dict:
+    """Nested maps by composed letter; the key ``""`` holds count and word of an end."""
     root: dict = {}
     for w, n in zip(words, counts):
         node = root
-        for ch in unicodedata.normalize("NFD", w):
+        for ch in w:
             node = node.setdefault(ch, {})
         node[""] = (n, w)
     return root
 
 
+@lru_cache(maxsize=100_000)
+def _arcs(base: str, marks: str) -> tuple[tuple[str, float], ...]:
+    """Letters of words that a written letter with its marks may stand for, and what each costs."""
+    return tuple((compose(o + marks), SECOND if i else 0.0) for i, o in enumerate(LOOKS.get(base, base)))
+
+
+def _written(token: str) -> list[list[str]]:
+    """Letters with the marks after them, as read; ignorables take no step and cost nothing."""
+    out: list[list[str]] = []
+    for ch in token:
+        for x in unicodedata.normalize("NFD", _plain_char(ch)):
+            if unicodedata.combining(x) and out:
+                out[-1][1] += x
+            else:
+                out.append([x, ""])
+    return out
+
+
 def spell(trie: dict, token: str) -> str | None:
     """The canonical spelling of *token*: cheapest match within ``LIMIT``, then most frequent, then
-    least.  An ignorable or an equal or look-alike letter costs nothing."""
-    chars = unicodedata.normalize("NFD", token)
+    least.  An ignorable, a drawn variant and an equal or look-alike letter cost nothing."""
     states: list[tuple[dict, float]] = [(trie, 0.0)]
-    for ch in chars:
-        if not _plain_char(ch):
-            continue
-        step: list[tuple[dict, float]] = []
-        for node, cost in states:
-            for i, option in enumerate(LOOKS.get(ch, ch)):
-                if option in node and cost + (i > 0) * SECOND <= LIMIT:
-                    step.append((node[option], cost + (i > 0) * SECOND))
-        states = step
+    for base, marks in _written(token):
+        arcs = _arcs(base, marks)
+        states = [(node[letter], cost + more) for node, cost in states for letter, more in arcs if letter in node and cost + more <= LIMIT]
+        if not states:
+            return None
     ends = [(cost, -node[""][0], node[""][1]) for node, cost in states if "" in node]
     return min(ends)[2] if ends else None
 
 
 def finish(text: str, spelled: dict[str, str]) -> str:
-    """The one form of *text*; ``spelled`` has its matched tokens.
+    """The one form of *text*; ``spelled`` has its matched tokens as they are written.
 
     A token of another script alone is a real word of that script when a letter of it looks like
     no Latin one, or when it matches no word of the corpus and nothing Latin stands beside it.
     """
-    body = plain(text)
-    latin_beside = any(_letters(t)[0] for t in body.split(" "))
-    strange = any(_letters(t)[2] for t in body.split(" "))
+    pieces = _GAP.split(text)
+    bodies = [plain(t) for t in pieces]
+    kinds = [_letters(t) for t in bodies]
+    latin_beside = any(k[0] for k in kinds)
+    strange = any(k[2] for k in kinds)
     out = []
-    for t in body.split(" "):
-        latin, alike, other = _letters(t)
-        if alike and not (other and latin <= alike + other):
-            if t in spelled and not other:
-                t = spelled[t]
+    for raw, t, (latin, alike, other) in zip(pieces, bodies, kinds):
+        if not alike:
+            t = spelled.get(raw, t)
+        elif not (other and latin <= alike + other):
+            if raw in spelled and not other:
+                t = spelled[raw]
             elif latin or (latin_beside and not strange):
                 t = fold(t)
         out.append(t)
@@ -199,7 +226,7 @@ def finish(text: str, spelled: dict[str, str]) -> str:
 
 def _prepare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        found = [(v, t, skeleton(t)) for v in b["value"] for t in lookups(plain(v))]
+        found = [(v, t, skeleton(plain(t))) for v in b["value"] for t in lookups(v)]
         yield pd.DataFrame(found, columns=["value", "token", "skeleton"])
 
 
@@ -212,21 +239,25 @@ def _match(words: pd.DataFrame, tokens: pd.DataFrame) -> pd.DataFrame:
 def _finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         form = [finish(v, dict(zip(t, s)) if t is not None else {}) for v, t, s in zip(b["value"], b["tokens"], b["spellings"])]
-        yield pd.DataFrame({"value": b["value"], "form": form})
+        yield pd.DataFrame({"value": b["value"], "form": form, "n_spelled": [0 if t is None else len(t) for t in b["tokens"]]})
+
+
+PER_TRIE = 5_000  #: odd tokens for each trie
 
 
-def forms(values: DataFrame, vocabulary: DataFrame | None = None, buckets: int = 64) -> DataFrame:
-    """``values(value)`` -> ``(value, form)`` for every distinct value that may be out of form;
+def forms(values: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
+    """``values(value)`` -> ``(value, form, n_spelled)`` for every distinct value that may be out of form;
     values not returned are in form.  The words come from all in-form values of ``vocabulary``
     (same column; *values* by default), counted over all rows.  A column ``in_form``, where there is
-    one, tells whether a value matches ``PLAIN``.
+    one, tells whether a value matches ``PLAIN``.  ``n_spelled`` counts the odd tokens that a trie spells.
 
     Nulls and empty texts are in form.  Texts of any length are taken whole.
     """
     ok = lambda df: F.col("in_form") if "in_form" in df.columns else F.col("value").rlike(PLAIN)
     odd = settle(values.where(~ok(values)).select("value").distinct())
     found = settle(odd.mapInPandas(_prepare, "value string, token string, skeleton string"))
-    tokens = found.select("token", "skeleton").distinct()
+    tokens = settle(found.select("token", "skeleton").distinct())
+    buckets = max(1, -(-tokens.count() // PER_TRIE))
     vocabulary = values if vocabulary is None else vocabulary
     good = vocabulary.where(ok(vocabulary))
     words = good.select(F.explode(F.split("value", " ")).alias("word")).where("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
@@ -235,11 +266,11 @@ def forms(values: DataFrame, vocabulary: DataFrame | None = None, buckets: int =
     bucket = F.pmod(F.xxhash64("skeleton"), F.lit(buckets)).alias("bucket")
     spelled = words.select("word", "n", bucket).groupBy("bucket").cogroup(tokens.select("token", bucket).groupBy("bucket")).applyInPandas(_match, "token string, spelling string")
     per_value = found.join(spelled, "token").groupBy("value").agg(F.collect_list("token").alias("tokens"), F.collect_list("spelling").alias("spellings"))
-    return odd.join(per_value, "value", "left").mapInPandas(_finish, "value string, form string")
+    return odd.join(per_value, "value", "left").mapInPandas(_finish, "value string, form string, n_spelled int")
 
 
 def out_of_form(tables: list[tuple[str, DataFrame, str, list[str]]], vocabulary: list[str] | None = None) -> DataFrame:
-    """``(tbl, row_key, field, value, form)`` of every value that is not in the one form.
+    """``(tbl, row_key, field, value, form, n_spelled)`` of every value that is not in the one form.
 
     ``tables`` holds (name, table, key column, text columns).  A row that occurs twice with the
     same key counts once; rows without a key give a null key.  ``vocabulary`` names the columns
@@ -254,14 +285,14 @@ def out_of_form(tables: list[tuple[str, DataFrame, str, list[str]]], vocabulary:
     words = long if vocabulary is None else long.where(F.col("field").isin(vocabulary))
     odd = settle(long.where(~F.col("value").rlike(PLAIN)).distinct())
     got = settle(forms(odd.select("value"), words.select("value")).where("form <> value"))
-    return odd.join(got, "value").select("tbl", "row_key", "field", "value", "form")
+    return odd.join(got, "value").select("tbl", "row_key", "field", "value", "form", "n_spelled")
 
 
 def canonical(df: DataFrame, columns: list[str]) -> DataFrame:
     """*df* with each of *columns* in the one form.  Only rows with an odd value are joined."""
     for c in columns:
         odd = F.col(c).isNotNull() & ~F.col(c).rlike(PLAIN)
-        got = forms(df.select(F.col(c).cast("string").alias("value")).where("value is not null")).withColumnsRenamed({"value": "__value", "form": "__form"})
+        got = forms(df.select(F.col(c).cast("string").alias("value")).where("value is not null")).select(F.col("value").alias("__value"), F.col("form").alias("__form"))
         turned = df.where(odd).join(got, F.col(c) == F.col("__value"), "left").withColumn(c, F.coalesce("__form", c)).drop("__value", "__form")
         df = df.where(~odd | F.col(c).isNull()).unionByName(turned)
     return df
