@@ -2,8 +2,12 @@
 
 Method: exact bisection.  A value interval is kept for every group and wanted rank; each pass
 counts the rows below the midpoints of all intervals at once and keeps the part that holds the
-rank.  A pass sets ``2**bits - 1`` midpoints in each interval rather than one, so doubles need few
-passes, and intervals shrink to the values met, so ties end at once.
+rank.  A pass sets many midpoints in each interval rather than one, so doubles need few passes: the
+first those of ``cell_counts`` (every ``2**-bits`` part of a power of two), later ones ``2**bits - 1``
+evenly.  Intervals shrink to the values met, so ties end at once.
+
+Values are read where they lie: a pass counts map-side and moves counts only, never a value, until at
+most ``few`` rows are left in an interval.
 
 Midpoints live in an order-preserving integer key of the double (exponent and mantissa), so wide
 ranges and heavy tails take no more passes than narrow ones, and counts at the same midpoints from
@@ -46,10 +50,21 @@ def key_value(key: Column) -> Column:
     return F.when(key < 0, -mag).otherwise(mag)
 
 
-def _long(df: DataFrame, dims: dict[str, Column], columns: list[str]) -> DataFrame:
-    """``(dim, grp, metric, key)``: one row a value, dimension and column."""
-    keyed = df.select(*[c.cast("string").alias(f"_d{i}") for i, c in enumerate(dims.values())], *[order_key(F.col(c)).alias(f"_k{i}") for i, c in enumerate(columns)])
-    rows = [F.struct(F.lit(d).alias("dim"), F.col(f"_d{i}").alias("grp"), F.lit(c).alias("metric"), F.col(f"_k{j}").alias("key")) for i, d in enumerate(dims) for j, c in enumerate(columns)]
+BY = ["dim", "grp", "metric"]
+FIRST = 44  #: bits of the key within a cell of the first pass: 256 cells for each power of two
+
+
+def _same(side: str = "_") -> Column:
+    return (F.col("dim") == F.col(f"{side}dim")) & F.col("grp").eqNullSafe(F.col(f"{side}grp")) & (F.col("metric") == F.col(f"{side}metric"))
+
+
+def _marked(df: DataFrame) -> DataFrame:
+    return df.withColumnsRenamed({k: f"_{k}" for k in BY})
+
+
+def _long(keyed: DataFrame, only: list[tuple[int, str, int, str]]) -> DataFrame:
+    """``(dim, grp, metric, key)``: one row a value, for each (place, dimension, place, column)."""
+    rows = [F.struct(F.lit(d).alias("dim"), F.col(f"_d{i}").alias("grp"), F.lit(c).alias("metric"), F.col(f"_k{j}").alias("key")) for i, d, j, c in only]
     return keyed.select(F.inline(F.array(*rows))).where("key is not null")
 
 
@@ -59,63 +74,69 @@ def exact_percentiles(df: DataFrame, dims: dict[str, Column], columns: list[str]
 
     Nulls and NaN are left out and not counted; a group without any value gives no row; a null
     group value is a group of its own.  An empty table gives no rows.  No group is ever gathered:
-    a pass moves at most ``2**bits`` counts a rank and map task, and the values of an interval are
+    a pass moves at most the counts of its cells for each map task, and the values of an interval are
     read only once at most ``few`` rows lie in it.
     """
-    rows = settle(_long(df, dims, columns).groupBy("dim", "grp", "metric", "key").agg(F.count("*").alias("w")))
-    by = ["dim", "grp", "metric"]
-    sums = settle(rows.groupBy(*by).agg(F.sum("w").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi")))
+    all_of = [(i, d, j, c) for i, d in enumerate(dims) for j, c in enumerate(columns)]
+    keyed = settle(df.select(*[c.cast("string").alias(f"_d{i}") for i, c in enumerate(dims.values())], *[order_key(F.col(c)).alias(f"_k{i}") for i, c in enumerate(columns)]))
+    cells = _long(keyed, all_of).groupBy(*BY, F.shiftright("key", FIRST).alias("cell")).agg(F.count("*").alias("inside"), F.min("key").alias("lo"), F.max("key").alias("hi"))
+    cells = settle(cells)
+    upto = Window.partitionBy(*BY).orderBy("cell")
+    cells = cells.withColumn("below", F.sum("inside").over(upto) - F.col("inside"))
+    sums = cells.groupBy(*BY).agg(F.sum("inside").alias("n"))
     share = F.explode(F.array(*[F.lit(float(p)) for p in ps])).alias("p")
-    want = sums.select(*by, "n", "lo", "hi", share).withColumn("at", F.col("p") * (F.col("n") - 1))
-    want = want.withColumn("at", F.round("at", 9)).withColumn("r", F.floor("at"))
-    ranks = want.select(*by, "lo", "hi", F.explode(F.array_distinct(F.array(F.col("r"), F.least(F.col("r") + 1, F.col("n") - 1)))).alias("rank"), F.col("n").alias("inside"))
-    ranks = ranks.distinct().withColumn("below", F.lit(0).cast("long"))
+    want = sums.select(*BY, "n", share).withColumn("at", F.round(F.col("p") * (F.col("n") - 1), 9)).withColumn("r", F.floor("at"))
+    want = settle(want.withColumn("r1", F.least(F.col("r") + 1, F.col("n") - 1)))
+    ranks = settle(want.select(*BY, F.explode(F.array_distinct(F.array("r", "r1"))).alias("rank")).distinct())
+    small = ranks.count() <= BROADCAST_ROWS
+    near_by = F.broadcast if small else (lambda t: t)
+
+    def hold(cells: DataFrame, ranks: DataFrame) -> DataFrame:
+        """The cell that holds each rank, as the next interval."""
+        on = _same() & (F.col("below") <= F.col("rank")) & (F.col("rank") < F.col("below") + F.col("inside"))
+        return settle(cells.join(near_by(_marked(ranks)), on).select(*BY, "lo", "hi", "rank", "inside", "below"))
+
+    def near(spans: DataFrame) -> DataFrame:
+        """The values that lie in the intervals *spans*; only columns that are still open are read."""
+        open_ = {(r["dim"], r["metric"]) for r in spans.select("dim", "metric").distinct().collect()}
+        rows = _long(keyed, [x for x in all_of if (x[1], x[3]) in open_])
+        return rows.join(near_by(_marked(spans)), _same() & F.col("key").between(F.col("lo"), F.col("hi")))
+
+    todo = hold(cells, ranks)
     done = None
-    todo = settle(ranks)
-    small = sums.count() * len(ps) * 2 <= BROADCAST_ROWS
     size = 1 << bits
-
-    def near(t: DataFrame) -> DataFrame:
-        t = t.withColumnsRenamed({k: f"_{k}" for k in by})
-        on = (F.col("dim") == F.col("_dim")) & F.col("grp").eqNullSafe(F.col("_grp")) & (F.col("metric") == F.col("_metric"))
-        return rows.join(F.broadcast(t) if small else t, on & F.col("key").between(F.col("lo"), F.col("hi"))).drop(*[f"_{k}" for k in by])
-
     while True:
-        ready = todo.where("lo = hi").select(*by, "rank", F.col("lo").alias("key"))
+        ready = todo.where("lo = hi").select(*BY, "rank", F.col("lo").alias("key"))
         done = ready if done is None else done.union(ready)
         todo = todo.where("lo < hi")
-        if todo.isEmpty():
+        most = todo.agg(F.max("inside").alias("n")).first()["n"]
+        if most is None:
             break
-        if todo.where(F.col("inside") > few).isEmpty():
-            won = near(todo).groupBy(*by, "rank").agg(F.first("below").alias("below"), F.sort_array(F.collect_list(F.struct("key", "w"))).alias("ks"))
-            run = F.aggregate("ks", F.struct((F.col("rank") - F.col("below")).alias("left"), F.lit(None).cast("long").alias("key")), lambda a, x: F.struct((a["left"] - x["w"]).alias("left"), F.when(a["key"].isNull() & (a["left"] < x["w"]), x["key"]).otherwise(a["key"]).alias("key")))
-            done = done.union(won.select(*by, "rank", run["key"].alias("key")))
+        spans = todo.select(*BY, "lo", "hi").distinct()  # ranks of a group often share an interval
+        if most <= few:
+            won = near(spans).groupBy(*BY, "lo", "hi").agg(F.array_sort(F.collect_list("key")).alias("keys"))
+            won = won.withColumnsRenamed({"lo": "_lo", "hi": "_hi"})
+            same = _same() & (F.col("lo") == F.col("_lo")) & (F.col("hi") == F.col("_hi"))
+            done = done.union(won.join(near_by(_marked(todo)), same).select(*BY, "rank", F.get("keys", (F.col("rank") - F.col("below")).cast("int")).alias("key")))
             break
-        # ranks of a group often share an interval: it is counted once
-        spans = todo.select(*by, "lo", "hi", "below").distinct()
-        width = F.greatest(F.lit(1), F.ceil(((F.col("hi").cast("double") - F.col("lo").cast("double")) + 1) / size)).cast("long")
         # longs of unlike sign may lie too far apart for a long; doubles order them as well
-        across = F.floor((F.col("key").cast("double") - F.col("lo").cast("double")) / F.col("width"))
-        cell = F.when((F.col("lo") < 0) & (F.col("hi") >= 0), across).otherwise(F.floor((F.col("key") - F.col("lo")) / F.col("width")))
-        cells = near(spans).withColumn("width", width).groupBy(*by, F.col("lo").alias("lo0"), F.col("hi").alias("hi0"), cell.alias("cell")).agg(F.sum("w").alias("inside"), F.min("key").alias("lo"), F.max("key").alias("hi"), F.first("below").alias("base"))
-        upto = Window.partitionBy(*by, "lo0", "hi0").orderBy("cell")
-        cells = cells.withColumn("cum", F.col("base") + F.sum("inside").over(upto)).withColumn("below", F.col("cum") - F.col("inside"))
-        want_rank = todo.select(*[F.col(k).alias(f"_{k}") for k in by], F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), "rank")
-        same = (F.col("dim") == F.col("_dim")) & F.col("grp").eqNullSafe(F.col("_grp")) & (F.col("metric") == F.col("_metric")) & (F.col("lo0") == F.col("_lo")) & (F.col("hi0") == F.col("_hi"))
-        picked = cells.join(F.broadcast(want_rank) if small else want_rank, same & (F.col("below") <= F.col("rank")) & (F.col("rank") < F.col("cum")))
-        todo = settle(picked.select(*by, "lo", "hi", "rank", "inside", "below"))
-    found = settle(done).select(*by, "rank", key_value(F.col("key")).alias("v"))
-    a, b = found.withColumnsRenamed({"rank": "r", "v": "v0"}), found.withColumnsRenamed({"rank": "r1", "v": "v1"})
-    out = want.withColumn("r1", F.least(F.col("r") + 1, F.col("n") - 1))
-    for side in (a, b):
-        side = side.withColumnsRenamed({k: f"_{k}" for k in by})
-        r = "r" if "r" in side.columns else "r1"
-        side = side.withColumnRenamed(r, "_r")
-        on = (F.col("dim") == F.col("_dim")) & F.col("grp").eqNullSafe(F.col("_grp")) & (F.col("metric") == F.col("_metric")) & (F.col(r) == F.col("_r"))
-        out = out.join(side, on).drop("_dim", "_grp", "_metric", "_r")
+        width = F.greatest(F.lit(1), F.ceil(((F.col("hi").cast("double") - F.col("lo").cast("double")) + 1) / size)).cast("long")
+        across = F.floor((F.col("key").cast("double") - F.col("lo").cast("double")) / width)
+        cell = F.when((F.col("lo") < 0) & (F.col("hi") >= 0), across).otherwise(F.floor((F.col("key") - F.col("lo")) / width))
+        cells = near(spans).groupBy(*BY, F.col("lo").alias("lo0"), F.col("hi").alias("hi0"), cell.alias("cell")).agg(F.count("*").alias("inside"), F.min("key").alias("lo"), F.max("key").alias("hi"))
+        base = todo.select(*BY, F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), F.col("below").alias("base")).distinct()
+        cells = cells.join(near_by(_marked(base)), _same() & (F.col("lo0") == F.col("_lo")) & (F.col("hi0") == F.col("_hi"))).select(*BY, "lo0", "hi0", "cell", "inside", "lo", "hi", "base")
+        upto = Window.partitionBy(*BY, "lo0", "hi0").orderBy("cell")
+        cells = cells.withColumn("below", F.col("base") + F.sum("inside").over(upto) - F.col("inside"))
+        todo = hold(cells, todo.select(*BY, "rank"))
+    found = settle(done).select(*BY, "rank", key_value(F.col("key")).alias("v"))
+    out = want
+    for r, v in (("r", "v0"), ("r1", "v1")):
+        side = _marked(found.withColumnsRenamed({"rank": f"_{r}", "v": v}))
+        out = out.join(side, _same() & (F.col(r) == F.col(f"_{r}"))).select(*out.columns, v)
     frac = F.col("at") - F.col("r")
     value = F.when((F.col("v0") == F.col("v1")) | (frac == 0), F.col("v0")).otherwise(F.col("v0") + (F.col("v1") - F.col("v0")) * frac)
-    return out.select(*by, "p", "n", value.alias("value"))
+    return out.select(*BY, "p", "n", value.alias("value"))
 
 
 def cell_counts(df: DataFrame, dims: dict[str, Column], columns: list[str], bits: int = 8) -> DataFrame:
