@@ -40,6 +40,30 @@ def first_seen(records: DataFrame, keys: list[str], order: list[str], sequence:
     return few.groupBy(*keys, "_alone").agg(F.min_by("_seq", "_rank").alias("seq")).drop("_alone")
 
 
+def growth(records: DataFrame, keys: list[str], step: str, steps: list[int], sequence: str = "pos", block_size: int = 80, take: int = 8, seed: str = "s1") -> DataFrame:
+    """``(upto, chosen, lost)`` for each of *steps*: regions chosen from the records with ``step <= upto``
+    alone, and regions that a smaller step chose but this one does not.
+
+    All samples are drawn from one shuffle of the records.  Records without a step or sequence number take no
+    part; an empty table gives zeros.
+    """
+    alone = F.when(F.greatest(*[F.col(k).isNull().cast("int") for k in keys], F.lit(0)) == 1, F.col(sequence))
+    few = records.where(F.col(sequence).isNotNull() & F.col(step).isNotNull()).select(*keys, alone.alias("_alone"), F.col(step).alias("_step"), F.col(sequence).cast("long").alias("_seq"))
+    first = few.groupBy(*keys, "_alone", "_step").agg(F.min("_seq").alias("_seq"))
+    seen = first.groupBy(*keys, "_alone").agg(F.sort_array(F.collect_list(F.struct("_step", "_seq"))).alias("_all"))
+
+    def drawn(upto: int) -> Column:
+        seq = F.get(F.filter("_all", lambda x: x["_step"] <= upto), F.lit(0))["_seq"]
+        block = F.floor(seq / block_size).cast("long")
+        return F.coalesce(F.array_contains(chosen_positions(block, block_size, take, seed), seq - block * block_size), F.lit(False))
+
+    marks = seen.select(F.array(*[drawn(u) for u in steps]).alias("got"))
+    lost = lambda i: F.exists(F.slice("got", 1, i), lambda x: x) & ~F.get("got", F.lit(i)) if i else F.lit(False)
+    each = marks.select(*[F.get("got", F.lit(i)).alias(f"c{i}") for i in range(len(steps))], *[lost(i).alias(f"l{i}") for i in range(len(steps))])
+    sums = each.agg(*[F.count_if(F.col(c)).alias(c) for c in each.columns])
+    return sums.select(F.inline(F.array(*[F.struct(F.lit(u).alias("upto"), F.col(f"c{i}").alias("chosen"), F.col(f"l{i}").alias("lost")) for i, u in enumerate(steps)])))
+
+
 def block_sample(
     records: DataFrame, keys: list[str], order: list[str], sequence: str = "pos", block_size: int = 80, take: int = 8, seed: str = "s1"
 ) -> DataFrame:

@@ -3,16 +3,15 @@
 Method: exact bisection.  A value interval is kept for every group and wanted rank; each pass
 counts the rows below the midpoints of all intervals at once and keeps the part that holds the
 rank.  A pass sets many midpoints in each interval rather than one, so doubles need few passes: the
-first those of ``cell_counts`` (every ``2**-bits`` part of a power of two), later ones ``2**bits - 1``
-evenly.  Intervals shrink to the values met, so ties end at once.
+first 256 for each power of two, so that wide ranges and heavy tails take no more passes than narrow
+ones, later ones ``2**bits - 1`` evenly.  Intervals shrink to the values met, so ties end at once.
 
 Values are read where they lie: a pass counts map-side and moves counts only, never a value, until at
 most ``few`` rows are left in an interval.
 
-Midpoints live in an order-preserving integer key of the double (exponent and mantissa), so wide
-ranges and heavy tails take no more passes than narrow ones, and counts at the same midpoints from
-separate days or loads add up: ``cell_counts`` is the summary to keep, ``merge_counts`` combines
-summaries, and ``from_counts`` reads percentiles from them within a factor of ``2**-bits``.
+Counts at the same midpoints from separate days or loads add up: ``cell_counts`` is the summary to keep,
+``merge_counts`` combines summaries, and ``from_counts`` reads percentiles from them within a factor of
+``2**-bits``.  Its midpoints live in an order-preserving integer key of the double (exponent, mantissa).
 """
 
 from __future__ import annotations
@@ -51,7 +50,12 @@ def key_value(key: Column) -> Column:
 
 
 BY = ["dim", "grp", "metric"]
-FIRST = 44  #: bits of the key within a cell of the first pass: 256 cells for each power of two
+
+
+def _first_cell(v: Column) -> Column:
+    """The cell of the first pass; it never falls as the value grows."""
+    size = F.floor(F.log2(F.abs(v)) * 256) + 300_000
+    return F.when(v == 0, F.lit(0)).when(F.abs(v) == float("inf"), F.lit(10**6)).otherwise(size).cast("long") * F.signum(v).cast("long")
 
 
 def _same(side: str = "_") -> Column:
@@ -62,10 +66,10 @@ def _marked(df: DataFrame) -> DataFrame:
     return df.withColumnsRenamed({k: f"_{k}" for k in BY})
 
 
-def _long(keyed: DataFrame, only: list[tuple[int, str, int, str]]) -> DataFrame:
-    """``(dim, grp, metric, key)``: one row a value, for each (place, dimension, place, column)."""
-    rows = [F.struct(F.lit(d).alias("dim"), F.col(f"_d{i}").alias("grp"), F.lit(c).alias("metric"), F.col(f"_k{j}").alias("key")) for i, d, j, c in only]
-    return keyed.select(F.inline(F.array(*rows))).where("key is not null")
+def _long(keyed: DataFrame, only: list[tuple[int, str, int, str]], more: dict[str, str] = {}) -> DataFrame:  # noqa: B006
+    """``(dim, grp, metric, v, *more)``: one row a value, for each (place, dimension, place, column)."""
+    rows = [F.struct(F.lit(d).alias("dim"), F.col(f"_d{i}").alias("grp"), F.lit(c).alias("metric"), F.col(f"_v{j}").alias("v"), *[F.col(f"{k}{j}").alias(n) for k, n in more.items()]) for i, d, j, c in only]
+    return keyed.select(F.inline(F.array(*rows))).where("v is not null")
 
 
 def exact_percentiles(df: DataFrame, dims: dict[str, Column], columns: list[str], ps: list[float], bits: int = 12, few: int = 256) -> DataFrame:
@@ -78,8 +82,10 @@ def exact_percentiles(df: DataFrame, dims: dict[str, Column], columns: list[str]
     read only once at most ``few`` rows lie in it.
     """
     all_of = [(i, d, j, c) for i, d in enumerate(dims) for j, c in enumerate(columns)]
-    keyed = settle(df.select(*[c.cast("string").alias(f"_d{i}") for i, c in enumerate(dims.values())], *[order_key(F.col(c)).alias(f"_k{i}") for i, c in enumerate(columns)]))
-    cells = _long(keyed, all_of).groupBy(*BY, F.shiftright("key", FIRST).alias("cell")).agg(F.count("*").alias("inside"), F.min("key").alias("lo"), F.max("key").alias("hi"))
+    value = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+    keyed = settle(df.select(*[c.cast("string").alias(f"_d{i}") for i, c in enumerate(dims.values())], *[value(c).alias(f"_v{i}") for i, c in enumerate(columns)]))
+    celled = keyed.withColumns({f"_c{i}": _first_cell(F.col(f"_v{i}")) for i in range(len(columns))})
+    cells = _long(celled, all_of, {"_c": "cell"}).groupBy(*BY, "cell").agg(F.count("*").alias("inside"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     cells = settle(cells)
     upto = Window.partitionBy(*BY).orderBy("cell")
     cells = cells.withColumn("below", F.sum("inside").over(upto) - F.col("inside"))
@@ -100,13 +106,13 @@ def exact_percentiles(df: DataFrame, dims: dict[str, Column], columns: list[str]
         """The values that lie in the intervals *spans*; only columns that are still open are read."""
         open_ = {(r["dim"], r["metric"]) for r in spans.select("dim", "metric").distinct().collect()}
         rows = _long(keyed, [x for x in all_of if (x[1], x[3]) in open_])
-        return rows.join(near_by(_marked(spans)), _same() & F.col("key").between(F.col("lo"), F.col("hi")))
+        return rows.join(near_by(_marked(spans)), _same() & F.col("v").between(F.col("lo"), F.col("hi")))
 
     todo = hold(cells, ranks)
     done = None
     size = 1 << bits
     while True:
-        ready = todo.where("lo = hi").select(*BY, "rank", F.col("lo").alias("key"))
+        ready = todo.where("lo = hi").select(*BY, "rank", F.col("lo").alias("v"))
         done = ready if done is None else done.union(ready)
         todo = todo.where("lo < hi")
         most = todo.agg(F.max("inside").alias("n")).first()["n"]
@@ -114,22 +120,19 @@ def exact_percentiles(df: DataFrame, dims: dict[str, Column], columns: list[str]
             break
         spans = todo.select(*BY, "lo", "hi").distinct()  # ranks of a group often share an interval
         if most <= few:
-            won = near(spans).groupBy(*BY, "lo", "hi").agg(F.array_sort(F.collect_list("key")).alias("keys"))
+            won = near(spans).groupBy(*BY, "lo", "hi").agg(F.array_sort(F.collect_list("v")).alias("vs"))
             won = won.withColumnsRenamed({"lo": "_lo", "hi": "_hi"})
             same = _same() & (F.col("lo") == F.col("_lo")) & (F.col("hi") == F.col("_hi"))
-            done = done.union(won.join(near_by(_marked(todo)), same).select(*BY, "rank", F.get("keys", (F.col("rank") - F.col("below")).cast("int")).alias("key")))
+            done = done.union(won.join(near_by(_marked(todo)), same).select(*BY, "rank", F.get("vs", (F.col("rank") - F.col("below")).cast("int")).alias("v")))
             break
-        # longs of unlike sign may lie too far apart for a long; doubles order them as well
-        width = F.greatest(F.lit(1), F.ceil(((F.col("hi").cast("double") - F.col("lo").cast("double")) + 1) / size)).cast("long")
-        across = F.floor((F.col("key").cast("double") - F.col("lo").cast("double")) / width)
-        cell = F.when((F.col("lo") < 0) & (F.col("hi") >= 0), across).otherwise(F.floor((F.col("key") - F.col("lo")) / width))
-        cells = near(spans).groupBy(*BY, F.col("lo").alias("lo0"), F.col("hi").alias("hi0"), cell.alias("cell")).agg(F.count("*").alias("inside"), F.min("key").alias("lo"), F.max("key").alias("hi"))
+        part = F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * size).cast("long")
+        cells = near(spans).groupBy(*BY, F.col("lo").alias("lo0"), F.col("hi").alias("hi0"), part.alias("cell")).agg(F.count("*").alias("inside"), F.min("v").alias("lo"), F.max("v").alias("hi"))
         base = todo.select(*BY, F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), F.col("below").alias("base")).distinct()
         cells = cells.join(near_by(_marked(base)), _same() & (F.col("lo0") == F.col("_lo")) & (F.col("hi0") == F.col("_hi"))).select(*BY, "lo0", "hi0", "cell", "inside", "lo", "hi", "base")
         upto = Window.partitionBy(*BY, "lo0", "hi0").orderBy("cell")
         cells = cells.withColumn("below", F.col("base") + F.sum("inside").over(upto) - F.col("inside"))
         todo = hold(cells, todo.select(*BY, "rank"))
-    found = settle(done).select(*BY, "rank", key_value(F.col("key")).alias("v"))
+    found = settle(done)
     out = want
     for r, v in (("r", "v0"), ("r1", "v1")):
         side = _marked(found.withColumnsRenamed({"rank": f"_{r}", "v": v}))

@@ -62,13 +62,7 @@ def p2_sample(spark: SparkSession, d: str) -> DataFrame:
 def p2_growth(spark: SparkSession, d: str) -> DataFrame:
     """For each delivery: regions chosen so far, and those chosen before that are gone (0)."""
     rows = _t(spark, d, "instances").select("img_id", "poly", "delivery", "pos")
-    steps = None
-    for upto in range(1, 8):
-        part = blocksample.block_sample(rows.where(F.col("delivery") <= upto), REGION, ["delivery"]).select("seq", F.lit(upto).alias("upto"))
-        steps = part if steps is None else steps.union(part)
-    spans = steps.groupBy("seq").agg(F.min("upto").alias("a"), F.count("*").alias("n"))
-    each = spans.select(F.explode(F.sequence(F.lit(1), F.lit(7))).alias("upto"), "a", "n")
-    return each.groupBy("upto").agg(F.sum((F.col("a") <= F.col("upto")).cast("long")).alias("chosen"), F.sum(((F.col("a") <= F.col("upto")) & (F.col("n") != 8 - F.col("a"))).cast("long")).alias("lost"))
+    return blocksample.growth(rows, REGION, "delivery", list(range(1, 8)))
 
 
 _SEEN = """seen as (select img_id, any_value(poly) as poly, arg_min(pos, (delivery, pos)) as seq, arg_min(pos, (delivery, pos)) // 80 as block
