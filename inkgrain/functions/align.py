@@ -5,12 +5,10 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, StringType
 
 from inkgrain.functions.text import chars, word_list
 
-OPS = ArrayType(StructType([StructField(n, StringType()) for n in ("op", "r", "h")]))
-
 
 def trace(a, b) -> list[tuple[str, str | None, str | None]]:
     """The operations of a least-cost alignment of two sequences.  Read from the end, a match or
@@ -36,27 +34,33 @@ def trace(a, b) -> list[tuple[str, str | None, str | None]]:
     return out[::-1]
 
 
-@F.pandas_udf(OPS)
-def _ops(r: pd.Series, h: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else [dict(zip(("op", "r", "h"), o)) for o in trace(x, y)] for x, y in zip(r, h)])
+_CODES = {"eq": "=", "sub": "s", "del": "d", "ins": "i"}
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def traced(r: pd.Series, h: pd.Series) -> pd.Series:
+    """The operations of each pair, three characters each: the operation and both sides, a null character
+    for an absent one.  Plain strings are far cheaper to hand over than nested rows."""
+    return pd.Series([None if x is None or y is None else [_CODES[o] + (p or "\0") + (q or "\0") for o, p, q in trace(x, y)] for x, y in zip(r, h)], dtype=object)
+
+
+def read_ops(codes: Column) -> Column:
+    """``array<struct<op, r, h>>`` of what ``traced`` gives."""
+    side = lambda x, k: F.nullif(F.substring(x, k, 1), F.lit("\0"))
+    op = lambda x: F.element_at(F.create_map(*[F.lit(z) for k, v in _CODES.items() for z in (v, k)]), F.substring(x, 1, 1))
+    return F.transform(codes, lambda x: F.struct(op(x).alias("op"), side(x, 2).alias("r"), side(x, 3).alias("h")))
+
+
+def placewise(ref: Column, hyp: Column) -> Column:
+    """The alignment place by place, right where ``forced`` holds."""
+    return F.zip_with(chars(ref), chars(hyp), lambda x, y: F.struct(F.when(x == y, "eq").otherwise("sub").alias("op"), x.alias("r"), y.alias("h")))
 
 
-@F.pandas_udf(IntegerType())
-def _words(r: pd.Series, h: pd.Series) -> pd.Series:
-    out = []
-    for x, y in zip(r, h):
-        if x is None or y is None:
-            out.append(None)
-            continue
-        ids: dict[str, int] = {}
-        a, b = ([ids.setdefault(w, len(ids)) for w in t] for t in (x, y))
-        row = list(range(len(b) + 1))
-        for i, p in enumerate(a, 1):
-            last, row[0] = row[0], i
-            for j, q in enumerate(b, 1):
-                last, row[j] = row[j], min(last + (p != q), row[j] + 1, row[j - 1] + 1)
-        out.append(row[-1])
-    return pd.Series(out, dtype="Int32")
+def forced(ref: Column, hyp: Column) -> Column:
+    """Whether only a place by place alignment costs least: the same, or as long and as many places apart as
+    their distance."""
+    apart = F.size(F.filter(F.zip_with(chars(ref), chars(hyp), lambda x, y: x != y), lambda z: z))
+    return F.when(ref == hyp, True).when(F.length(ref) != F.length(hyp), False).otherwise(F.levenshtein(ref, hyp) == apart)
 
 
 def edit_distance(ref: Column, hyp: Column) -> Column:
@@ -67,17 +71,18 @@ def edit_distance(ref: Column, hyp: Column) -> Column:
 def align_ops(ref: Column, hyp: Column) -> Column:
     """``array<struct<op, r, h>>`` with op eq, sub, del or ins (T5).
 
-    Where both sides are as long and differ in as many places as their distance, the alignment can
-    only be place by place and is built natively; the rest goes to Python in Arrow batches.
+    Forced alignments are built natively; the rest goes to Python in Arrow batches.  (Over tables,
+    ``score.aligned`` sends each distinct pair that needs it only once.)
     """
-    a, b = chars(ref), chars(hyp)
-    pairs = F.zip_with(a, b, lambda x, y: F.struct(F.when(x == y, "eq").otherwise("sub").alias("op"), x.alias("r"), y.alias("h")))
-    apart = F.size(F.filter(F.zip_with(a, b, lambda x, y: x != y), lambda z: z))
-    forced = (ref == hyp) | ((F.length(ref) == F.length(hyp)) & (F.levenshtein(ref, hyp) == apart))
-    return F.when(forced, pairs).otherwise(_ops(F.when(~forced, ref), F.when(~forced, hyp)))
+    easy = forced(ref, hyp)
+    return F.when(easy, placewise(ref, hyp)).otherwise(read_ops(traced(F.when(~easy, ref), F.when(~easy, hyp))))
 
 
 def word_distance(ref: Column, hyp: Column) -> Column:
-    """Edit distance in words."""
-    same = ref == hyp
-    return F.when(same, F.lit(0)).otherwise(_words(F.when(~same, word_list(ref)), F.when(~same, word_list(hyp))))
+    """Edit distance in words (T6): each word of a pair becomes one character, and the distance of the
+    strings is native.  A pair may hold a million different words."""
+    a, b = word_list(ref), word_list(hyp)
+    known = F.array_distinct(F.concat(a, b))
+    one = lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(known, w) + 0xFFFF), 8, "0")), "UTF-32")
+    coded = lambda ws: F.array_join(F.transform(ws, one), "")
+    return F.when(ref == hyp, F.lit(0)).otherwise(F.levenshtein(coded(a), coded(b)))

@@ -1,7 +1,7 @@
 """Scores of recognised text and what its errors are made of.
 
-Pairs are aligned once; every measure is a grouped sum over the aligned characters.  The exploded
-characters meet the broadcast glyph table and are summed map-side, so only groups are shuffled.
+Each distinct pair of a group is aligned once.  Every measure is a weighted sum over the kinds of aligned
+characters of a group (operation, reference, prediction), a small table that the glyphs are joined to.
 """
 
 from __future__ import annotations
@@ -10,13 +10,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkgrain.functions import glyphs
-from inkgrain.functions.align import align_ops, word_distance
-from inkgrain.functions.text import chars, nfc, word_list
+from inkgrain.functions.align import forced, placewise, read_ops, traced, word_distance
+from inkgrain.functions.text import STABLE, chars, clean, nfc, word_list
+from inkgrain.session import settle
 
 
 def normal_pairs(pairs: DataFrame) -> DataFrame:
-    """``ref`` and ``hyp`` cleaned and composed; a missing prediction is an empty one."""
-    return pairs.withColumn("ref", nfc(F.coalesce("ref", F.lit("")))).withColumn("hyp", nfc(F.coalesce("hyp", F.lit(""))))
+    """``ref`` and ``hyp`` cleaned and composed; a missing prediction is an empty one (F7).  Only pairs that
+    are not composed by their ranges reach Python."""
+    pairs = pairs.withColumns({c: clean(F.coalesce(c, F.lit(""))) for c in ("ref", "hyp")})
+    ok = F.col("ref").rlike(STABLE) & F.col("hyp").rlike(STABLE)
+    return pairs.where(ok).unionByName(pairs.where(~ok).withColumns({"ref": nfc(F.col("ref")), "hyp": nfc(F.col("hyp"))}))
+
+
+def aligned(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """``(*keys, ref, hyp, w, ops)``: each distinct pair of a group once, with the number of its rows and its
+    alignment.  Python sees only pairs whose alignment is not forced."""
+    each = normal_pairs(pairs).groupBy(*keys, "ref", "hyp").agg(F.count("*").alias("w"))
+    each = settle(each.withColumn("_easy", forced(F.col("ref"), F.col("hyp"))))
+    easy = each.where("_easy").withColumn("ops", placewise(F.col("ref"), F.col("hyp")))
+    hard = each.where("not _easy").withColumn("ops", read_ops(traced(F.col("ref"), F.col("hyp"))))
+    return easy.unionByName(hard).drop("_easy")
 
 
 def _glyph(rows: DataFrame, side: str) -> DataFrame:
@@ -28,14 +42,20 @@ def _glyph(rows: DataFrame, side: str) -> DataFrame:
     return out.withColumns({f"{side}_{k}": F.when(F.col(side).isNotNull(), F.coalesce(f"{side}_{k}", v)) for k, v in fill.items()})
 
 
-def op_rows(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """One row an aligned character: ``keys``, ``op``, ``r``, ``h`` and the glyph parts of both."""
-    ops = normal_pairs(pairs).select(*keys, F.explode(align_ops(F.col("ref"), F.col("hyp"))).alias("o")).select(*keys, "o.*")
+def op_table(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Aligned pairs -> ``(*keys, op, r, h, w)`` with the glyph parts of both sides: each kind of aligned
+    character once, with how often it occurs."""
+    ops = rows.select(*keys, "w", F.explode("ops").alias("o")).groupBy(*keys, "o.op", "o.r", "o.h").agg(F.sum("w").alias("w"))
     return _glyph(_glyph(ops, "r"), "h")
 
 
+def op_rows(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """``op_table`` of pairs."""
+    return op_table(aligned(pairs, keys), keys)
+
+
 def _n(cond: Column) -> Column:
-    return F.coalesce(F.sum(cond.cast("long")), F.lit(0))
+    return F.coalesce(F.sum(F.when(cond, F.col("w"))), F.lit(0))
 
 
 def axis_counts(ops: DataFrame, by: list[str]) -> DataFrame:
@@ -51,10 +71,10 @@ def axis_counts(ops: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def pair_counts(pairs: DataFrame, by: list[str]) -> DataFrame:
-    """Pairs, exact hits and word counts of each group."""
-    p = normal_pairs(pairs)
-    return p.groupBy(*by).agg(F.count("*").alias("n"), _n(F.col("ref") == F.col("hyp")).alias("n_exact"), F.sum(word_distance(F.col("ref"), F.col("hyp"))).cast("long").alias("word_edits"), F.sum(F.size(word_list(F.col("ref")))).cast("long").alias("word_ref"))
+def pair_counts(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Pairs, exact hits and word counts of each group of aligned pairs."""
+    ref, hyp, w = F.col("ref"), F.col("hyp"), F.col("w")
+    return rows.groupBy(*by).agg(F.sum(w).alias("n"), _n(ref == hyp).alias("n_exact"), F.sum(word_distance(ref, hyp) * w).alias("word_edits"), F.sum(F.size(word_list(ref)) * w).alias("word_ref"))
 
 
 RATES = {"cer": ("char_edits", "char_ref"), "wer": ("word_edits", "word_ref"), "exact": ("n_exact", "n"), "base_acc": ("base_ok", "base_n"), "base_acc_ci": ("base_ok_ci", "base_n"), "mod_acc": ("mod_ok", "mod_n"), "tone_acc": ("tone_ok", "tone_n")}
@@ -68,8 +88,9 @@ def with_rates(counts: DataFrame) -> DataFrame:
 def score(pairs: DataFrame, by: list[str]) -> DataFrame:
     """All counts and rates of each group of pairs (A1).  A group of empty references only has
     null character rates."""
-    whole = pair_counts(pairs, by)
-    chars_ = axis_counts(op_rows(pairs, by), by).withColumnsRenamed({k: f"_{k}" for k in by})
+    rows = settle(aligned(pairs, by))
+    whole = pair_counts(rows, by)
+    chars_ = axis_counts(op_table(rows, by), by).withColumnsRenamed({k: f"_{k}" for k in by})
     on = F.lit(True)
     for k in by:
         on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
@@ -85,8 +106,8 @@ def confusion(ops: DataFrame, by: list[str]) -> DataFrame:
         return F.when(F.col(f"r_{bears}"), F.struct(F.lit(axis).alias("axis"), F.col(f"r_{part}").alias("ref"), F.when(F.col("op") == "del", gone).otherwise(F.col(f"h_{part}")).alias("hyp")))
 
     cells = F.array(cell("base", "is_letter", "base"), cell("modifier", "bears_mod", "modifier"), cell("tone", "bears_tone", "tone"))
-    rows = ops.where("op <> 'ins'").select(*by, F.explode(F.filter(cells, lambda x: x.isNotNull())).alias("c")).select(*by, "c.*")
-    return rows.groupBy(*by, "axis", "ref", "hyp").agg(F.count("*").alias("n"))
+    rows = ops.where("op <> 'ins'").select(*by, "w", F.explode(F.filter(cells, lambda x: x.isNotNull())).alias("c")).select(*by, "w", "c.*")
+    return rows.groupBy(*by, "axis", "ref", "hyp").agg(F.sum("w").alias("n"))
 
 
 def top_confusions(cells: DataFrame, by: list[str], k: int = 12) -> DataFrame:
@@ -120,7 +141,7 @@ def edit_class() -> Column:
 
 def error_mix(ops: DataFrame, by: list[str]) -> DataFrame:
     """Edits by class with their share of all edits of the group."""
-    n = ops.where("op <> 'eq'").groupBy(*by, edit_class().alias("kind")).agg(F.count("*").alias("n"))
+    n = ops.where("op <> 'eq'").groupBy(*by, edit_class().alias("kind")).agg(F.sum("w").alias("n"))
     return n.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy(*by)), 9))
 
 
@@ -130,7 +151,7 @@ def involvement(ops: DataFrame, by: list[str]) -> DataFrame:
     sub = F.col("op") == "sub"
     marks = f["mod_diff"] | f["tone_diff"]
     e = ops.where("op <> 'eq'").groupBy(*by).agg(
-        F.count("*").alias("edits"), _n(sub & f["base_diff_ci"]).alias("any_base"), _n(sub & f["mod_diff"]).alias("any_modifier"), _n(sub & f["tone_diff"]).alias("any_tone"), _n(sub & f["case_only"]).alias("case_only"),
+        F.sum("w").alias("edits"), _n(sub & f["base_diff_ci"]).alias("any_base"), _n(sub & f["mod_diff"]).alias("any_modifier"), _n(sub & f["tone_diff"]).alias("any_tone"), _n(sub & f["case_only"]).alias("case_only"),
         _n(sub & f["base_diff_ci"] & ~marks).alias("base_only"), _n(sub & marks & ~f["base_diff_ci"]).alias("diacritic_only"),
     )
     return e.withColumn("base_only_share", F.round(F.col("base_only") / F.col("edits"), 9)).withColumn("diacritic_only_share", F.round(F.col("diacritic_only") / F.col("edits"), 9))
@@ -144,8 +165,8 @@ def per_hundred(ops: DataFrame, by: list[str]) -> DataFrame:
 
 def class_errors(ops: DataFrame, by: list[str]) -> DataFrame:
     """Error rate of each tone and modifier class over the positions that bear it."""
-    rows = ops.where("op <> 'ins'").select(*by, F.explode(F.array(F.when(F.col("r_bears_tone"), F.struct(F.lit("tone").alias("axis"), F.col("r_tone").alias("cls"), ((F.col("op") == "del") | (F.col("r_tone") != F.col("h_tone"))).alias("bad"))), F.when(F.col("r_bears_mod"), F.struct(F.lit("modifier").alias("axis"), F.col("r_modifier").alias("cls"), ((F.col("op") == "del") | (F.col("r_modifier") != F.col("h_modifier"))).alias("bad"))))).alias("x")).where("x is not null")
-    return rows.groupBy(*by, "x.axis", "x.cls").agg(F.count("*").alias("positions"), _n(F.col("x.bad")).alias("errors")).withColumn("rate", F.round(F.col("errors") / F.col("positions"), 9))
+    rows = ops.where("op <> 'ins'").select(*by, "w", F.explode(F.array(F.when(F.col("r_bears_tone"), F.struct(F.lit("tone").alias("axis"), F.col("r_tone").alias("cls"), ((F.col("op") == "del") | (F.col("r_tone") != F.col("h_tone"))).alias("bad"))), F.when(F.col("r_bears_mod"), F.struct(F.lit("modifier").alias("axis"), F.col("r_modifier").alias("cls"), ((F.col("op") == "del") | (F.col("r_modifier") != F.col("h_modifier"))).alias("bad"))))).alias("x")).where("x is not null")
+    return rows.groupBy(*by, "x.axis", "x.cls").agg(F.sum("w").alias("positions"), _n(F.col("x.bad")).alias("errors")).withColumn("rate", F.round(F.col("errors") / F.col("positions"), 9))
 
 
 def glyph_counts(rows: DataFrame, key: str, text: str) -> DataFrame:
