@@ -2,32 +2,51 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkgrain.functions.geometry import bbox, overlap, quad_overlap
 from inkgrain.session import settle
 
+# The thresholds of overlap, and the part of a prediction that a do-not-care region must hold.
 THRESHOLDS = [0.5, 0.6, 0.7, 0.8, 0.9]
 COVER = 0.5
 
 
 def free_patches(patches: DataFrame, boxes: DataFrame, image: str = "img_id") -> DataFrame:
-    """Patches ``(img, x0, y0, x1, y1)`` that overlap no box ``(img, poly)`` of their image."""
+    """Patches ``(img, x0, y0, x1, y1)`` that overlap no box ``(img, poly)`` of their image.
+
+    Patches and boxes meet by image and grid square, so an image with very many regions spreads over
+    tasks; a patch is free when it is in none of its squares.  Equal patches share one answer; an image or
+    place that is null overlaps nothing.
+    """
+    own = [image, "x0", "y0", "x1", "y1"]
+    p = patches.select(*own).distinct().where(" and ".join(f"{c} is not null" for c in own) + " and x0 < x1 and y0 < y1")
+    p = p.withColumn("cx", _span("x0", "x1")).withColumn("cy", _span("y0", "y1"))
     b = boxes.select(F.col(image).alias("_i"), bbox(F.col("poly")).alias("b")).select("_i", "b.*").toDF("_i", "bx0", "by0", "bx1", "by1")
-    meet = (F.col(image) == F.col("_i")) & (F.col("x0") < F.col("bx1")) & (F.col("bx0") < F.col("x1")) & (F.col("y0") < F.col("by1")) & (F.col("by0") < F.col("y1"))
-    return patches.join(b, meet, "left_anti")
+    b = b.where("bx0 is not null and by0 is not null").withColumn("_cx", _span("bx0", "bx1")).withColumn("_cy", _span("by0", "by1"))
+    meet = (F.col(image) == F.col("_i")) & (F.col("cx") == F.col("_cx")) & (F.col("cy") == F.col("_cy")) & (F.col("x0") < F.col("bx1")) & (F.col("bx0") < F.col("x1")) & (F.col("y0") < F.col("by1")) & (F.col("by0") < F.col("y1"))
+    taken = p.join(b, meet, "left_semi").select(*own).distinct().withColumnsRenamed({c: f"_{c}" for c in own})
+    same = F.lit(True)
+    for c in own:
+        same = same & (F.col(c) == F.col(f"_{c}"))
+    return patches.join(taken, same, "left_anti")
 
 
 CELL = 256  #: side of the grid squares by which boxes meet, in pixels
 
 
+def _span(lo: str, hi: str) -> Column:
+    """The grid lines a stretch touches, one a row."""
+    return F.explode(F.sequence(F.floor(F.col(lo) / CELL), F.floor(F.col(hi) / CELL)))
+
+
 def _on_grid(boxes: DataFrame, image: str, side: str) -> DataFrame:
     """Each box once for every grid square it touches, columns marked by *side*."""
     b = boxes.select(F.col(image).alias("img"), F.col("pos").alias(f"pos_{side}"), F.col("poly").alias(f"poly_{side}"), bbox(F.col("poly")).alias(f"b_{side}"))
     b = b.where(F.col(f"b_{side}.x0").isNotNull() & F.col(f"b_{side}.y0").isNotNull())
-    span = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(f"b_{side}.{lo}") / CELL), F.floor(F.col(f"b_{side}.{hi}") / CELL)))
-    return b.withColumn("cx", span("x0", "x1")).withColumn("cy", span("y0", "y1"))
+    return b.withColumn("cx", _span(f"b_{side}.x0", f"b_{side}.x1")).withColumn("cy", _span(f"b_{side}.y0", f"b_{side}.y1"))
 
 
 def overlapping_pairs(a: DataFrame, b: DataFrame, image: str = "img_id") -> DataFrame:
@@ -42,7 +61,30 @@ def overlapping_pairs(a: DataFrame, b: DataFrame, image: str = "img_id") -> Data
     return j.where(meet).withColumn("o", quad_overlap("poly_a", "poly_b")).select("img", "pos_a", "pos_b", "o.iou", "o.cover")
 
 
-def match(boxes: DataFrame, thresholds: list[float] = THRESHOLDS) -> DataFrame:
+GATHER = 200_000  #: overlaps of an image that one task may hold
+
+
+def _greedy(thresholds: list[float]):
+    """The rule on the overlaps of one image."""
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["pos_a", "iou", "pos_b"], ascending=[True, False, True])
+        rows = list(zip(part["pos_a"].tolist(), part["pos_b"].tolist(), part["iou"].tolist()))
+        out = []
+        for t in thresholds:
+            used: set = set()
+            served: set = set()
+            for a, b, iou in rows:
+                if iou >= t and a not in served and b not in used:
+                    served.add(a)
+                    used.add(b)
+                    out.append((float(t), part["img"].iloc[0], a, b))
+        return pd.DataFrame(out, columns=["thr", "img", "pos_a", "pos_b"])
+
+    return run
+
+
+def match(boxes: DataFrame, thresholds: list[float] = THRESHOLDS, gather: int = GATHER) -> DataFrame:
     """``boxes(img_id, pos, poly, kind)`` with kind gt, dontcare or pred -> ``(thr, tp, fp, fn)``.
 
     Predictions are taken in order of ``pos``; each takes the best unmatched truth by strictly
@@ -50,29 +92,31 @@ def match(boxes: DataFrame, thresholds: list[float] = THRESHOLDS) -> DataFrame:
     do-not-care region (by overlap, or half its area) is not counted (J5).  Truths without area are
     left out.
 
-    The order is kept without gathering an image: a prediction whose best open truth is wanted by
-    no earlier open prediction has it for sure; all such are matched at once, and again until none
-    wants an open truth.  No boxes give no rows.
+    An image with at most ``GATHER`` overlaps is matched in one task by the rule as it reads.  Of larger
+    ones no image is gathered: a prediction whose best open truth is wanted by no earlier open prediction
+    has it for sure; all such are matched at once, and again until none wants an open truth.  Both ways
+    give the same matches.  No boxes give no rows.
     """
     kind = lambda k: boxes.where((F.col("kind") == k) & (F.size("poly") == 8)).select("img_id", "pos", "poly")
     truth = kind("gt").where(_shoelace(F.col("poly")) > 0)
     pred = kind("pred")
     met = settle(overlapping_pairs(pred, truth).where(F.col("iou") >= min(thresholds)))
     thr = F.explode(F.array(*[F.lit(float(t)) for t in thresholds])).alias("thr")
-    edges = settle(met.select("img", "pos_a", "pos_b", "iou", thr).where("iou >= thr"))
+    many = settle(met.groupBy("img").agg(F.count("*").alias("n")).where(F.col("n") > gather).select("img"))
+    kind_of = {f.name: f.dataType.simpleString() for f in met.schema}
+    small = met.join(many, "img", "left_anti").groupBy("img").applyInPandas(_greedy(thresholds), f"thr double, img {kind_of['img']}, pos_a {kind_of['pos_a']}, pos_b {kind_of['pos_b']}")
+    matched = settle(small)
+    edges = settle(met.join(many, "img", "left_semi").select("img", "pos_a", "pos_b", "iou", thr).where("iou >= thr"))
     key = ["thr", "img"]
-    matched = None
     while not edges.isEmpty():
         top = edges.groupBy(*key, "pos_a").agg(F.min_by("pos_b", F.struct(-F.col("iou"), F.col("pos_b"))).alias("pos_b"))
         head = edges.groupBy(*key, "pos_b").agg(F.min("pos_a").alias("pos_a"))
         won = settle(top.join(head, [*key, "pos_a", "pos_b"]))
-        matched = won if matched is None else matched.union(won)
+        matched = matched.unionByName(won)
         edges = settle(edges.join(won.select(*key, "pos_a"), [*key, "pos_a"], "left_anti").join(won.select(*key, "pos_b"), [*key, "pos_b"], "left_anti"))
-    none = boxes.sparkSession.createDataFrame([], "thr double, n long")
-    tp = none if matched is None else matched.groupBy("thr").agg(F.count("*").alias("n"))
+    tp = matched.groupBy("thr").agg(F.count("*").alias("n"))
     excused = overlapping_pairs(pred, kind("dontcare")).select("img", "pos_a", "iou", "cover", thr).where((F.col("iou") >= F.col("thr")) | (F.col("cover") >= COVER)).select(*key, "pos_a").distinct()
-    if matched is not None:
-        excused = excused.join(matched, [*key, "pos_a"], "left_anti")
+    excused = excused.join(matched, [*key, "pos_a"], "left_anti")
     ex = excused.groupBy("thr").agg(F.count("*").alias("ex"))
     sizes = pred.agg(F.count("*").alias("n_pred")).crossJoin(truth.agg(F.count("*").alias("n_gt")))
     all_ = sizes.where("n_pred + n_gt > 0").select("n_pred", "n_gt", thr)

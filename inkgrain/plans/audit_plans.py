@@ -14,51 +14,51 @@ SPACE = r"[\s\x0b\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x
 
 def split_audit(spark: SparkSession, d: str) -> DataFrame:
     """Kept, hash and empty records, characters and words of each split and in all."""
-    return audit.split_audit(instances(spark, d), "split", "text")
+    return audit.split_audit(instances(spark, d, "split", "text"), "split", "text")
 
 
 def charset_inventory(spark: SparkSession, d: str) -> DataFrame:
     """Every character of the transcripts."""
-    return audit.charset(instances(spark, d), "raw_text")
+    return audit.charset(instances(spark, d, "raw_text"), "raw_text")
 
 
 def vocab_coverage(spark: SparkSession, d: str) -> DataFrame:
     """Characters outside the vocabulary, per split."""
-    return audit.vocab_coverage(instances(spark, d).where("scorable"), "split", "text", VOCAB)
+    return audit.vocab_coverage(instances(spark, d, "scorable", "split", "text").where("scorable"), "split", "text", VOCAB)
 
 
 def oov_antijoin(spark: SparkSession, d: str) -> DataFrame:
     """The characters outside the vocabulary."""
     vocab = spark.createDataFrame([(c,) for c in VOCAB], "ch string")
-    return audit.oov_inventory(instances(spark, d), "text", vocab)
+    return audit.oov_inventory(instances(spark, d, "text"), "text", vocab)
 
 
 def label_integrity(spark: SparkSession, d: str) -> DataFrame:
     """F16: labels that are not composed or not within the vocabulary."""
-    return audit.label_integrity(instances(spark, d), "text", VOCAB)
+    return audit.label_integrity(instances(spark, d, "text"), "text", VOCAB)
 
 
 def normal_states(spark: SparkSession, d: str) -> DataFrame:
     """normal form of the raw transcripts, per split."""
-    rows = instances(spark, d).where("raw_text is not null").select("split", text.normal_state(F.col("raw_text")).alias("state"))
+    rows = instances(spark, d, "raw_text", "split").where("raw_text is not null").select("split", text.normal_state(F.col("raw_text")).alias("state"))
     return rows.groupBy("split", "state").agg(F.count("*").alias("n"))
 
 
 def dont_care_forms(spark: SparkSession, d: str) -> DataFrame:
     """The five most frequent transcripts of records that are not scorable."""
-    g = instances(spark, d).where("not scorable").groupBy("raw_text").agg(F.count("*").alias("n"))
+    g = instances(spark, d, "scorable", "raw_text").where("not scorable").groupBy("raw_text").agg(F.count("*").alias("n"))
     return g.orderBy(F.col("n").desc(), "raw_text").limit(5)
 
 
 def bad_polys(spark: SparkSession, d: str) -> DataFrame:
     """Polygons by number of coordinates, and degenerate ones."""
-    q = instances(spark, d).select(F.size("poly").alias("n_coords"), geometry.is_degenerate(geometry.order_quad(F.col("poly"))).alias("thin"))
+    q = instances(spark, d, "poly").select(F.size("poly").alias("n_coords"), geometry.is_degenerate(geometry.order_quad(F.col("poly"))).alias("thin"))
     return q.groupBy("n_coords").agg(F.count("*").alias("n"), F.sum(F.coalesce(F.col("thin"), F.lit(False)).cast("long")).alias("n_thin"))
 
 
 def training_filter(spark: SparkSession, d: str) -> DataFrame:
     """F8: records left after each rule for training crops."""
-    i = instances(spark, d)
+    i = instances(spark, d, "split", "scorable", "text", "poly")
     ok = [F.col("scorable") & F.col("text").isNotNull(), F.col("text").rlike(text.vocab_pattern(VOCAB)), ~geometry.is_degenerate(geometry.order_quad(F.col("poly")))]
     n = lambda c: F.count_if(c)
     return i.groupBy("split").agg(F.count("*").alias("n"), n(ok[0]).alias("scorable"), n(ok[0] & ok[1]).alias("in_vocab"), n(ok[0] & ok[1] & ok[2]).alias("kept"))
@@ -66,32 +66,32 @@ def training_filter(spark: SparkSession, d: str) -> DataFrame:
 
 def quad_features(spark: SparkSession, d: str) -> DataFrame:
     """Size, tilt and box of every polygon."""
-    q = instances(spark, d).where("poly is not null").select("pos", "poly", geometry.order_quad(F.col("poly")).alias("q"))
+    q = instances(spark, d, "poly").where("poly is not null").select("pos", "poly", geometry.order_quad(F.col("poly")).alias("q"))
     s = q.select("pos", geometry.quad_size(F.col("q")).alias("s"), F.round(geometry.tilt(F.col("q")), 6).alias("tilt"), geometry.bbox(F.col("poly")).alias("b"))
     return s.select("pos", "s.w", "s.h", "tilt", "b.x0", "b.y0", "b.x1", "b.y1")
 
 
 def diacritic_counts(spark: SparkSession, d: str) -> DataFrame:
     """Stacked and marked characters, per source."""
-    i = instances(spark, d).where("scorable and text is not null")
+    i = instances(spark, d, "scorable", "text", "source").where("scorable and text is not null")
     g = score.glyph_counts(i, "source", "text")
     return g.groupBy("source").agg(F.sum("n_chars").alias("n_chars"), F.sum("n_stacked").alias("n_stacked"), F.sum("n_diacritic").alias("n_diacritic"))
 
 
 def text_profile(spark: SparkSession, d: str) -> DataFrame:
     """Lengths, case and digits of the texts of each source."""
-    return audit.text_profile(instances(spark, d).where("scorable"), ["source"], "text")
+    return audit.text_profile(instances(spark, d, "scorable", "source", "text").where("scorable"), ["source"], "text")
 
 
 def percentile_summary(spark: SparkSession, d: str) -> DataFrame:
     """Summary of every measure of each split."""
-    s = audit.percentile_summary(feats(spark, d), ["split"], ["height", "contrast", "length", "tilt"])
+    s = audit.percentile_summary(feats(spark, d, "split", "height", "contrast", "length", "tilt"), ["split"], ["height", "contrast", "length", "tilt"])
     return s.select("split", "stat", "n", *[F.round(c, 6).alias(c) for c in ("p5", "p25", "p50", "p75", "p95", "min", "max", "mean")])
 
 
 def coverage_audit(spark: SparkSession, d: str) -> DataFrame:
     """Whether the night pictures reach into the hard tail of all others."""
-    f = feats(spark, d)
+    f = feats(spark, d, "source", "height", "contrast", "tilt")
     stats = ["height", "contrast", "tilt"]
     real = audit.percentile_summary(f.where("source <> 'night_neon'"), [], stats)
     made = audit.percentile_summary(f.where("source = 'night_neon'"), [], stats)
@@ -100,13 +100,13 @@ def coverage_audit(spark: SparkSession, d: str) -> DataFrame:
 
 def strata_bins(spark: SparkSession, d: str) -> DataFrame:
     """Records in every bin."""
-    return audit.binned(feats(spark, d)).groupBy("stratum", "bin", "lo").agg(F.count("*").alias("n"))
+    return audit.binned(feats(spark, d, "height", "contrast", "length", "tilt")).groupBy("stratum", "bin", "lo").agg(F.count("*").alias("n"))
 
 
 def strata_first_match(spark: SparkSession, d: str) -> DataFrame:
     """Records by the first rule that holds."""
-    g = score.glyph_counts(instances(spark, d).where("text is not null"), "pos", "text")
-    f = feats(spark, d).join(g, "pos").select("pos", "split", "height", "contrast", "n_diacritic")
+    g = score.glyph_counts(instances(spark, d, "text").where("text is not null"), "pos", "text")
+    f = feats(spark, d, "split", "height", "contrast").join(g, "pos").select("pos", "split", "height", "contrast", "n_diacritic")
     return audit.first_match_stratum(f).groupBy("split", "stratum").agg(F.count("*").alias("n"))
 
 
@@ -118,7 +118,7 @@ def hygiene_warnings(spark: SparkSession, d: str) -> DataFrame:
 
 def height_slope(spark: SparkSession, d: str) -> DataFrame:
     """Drift of contrast over the days, per source."""
-    f = feats(spark, d).where("contrast is not null and not isnan(contrast)").select("source", F.datediff("measured_on", F.lit("2023-01-01").cast("date")).cast("double").alias("day"), "contrast")
+    f = feats(spark, d, "source", "measured_on", "contrast").where("contrast is not null and not isnan(contrast)").select("source", F.datediff("measured_on", F.lit("2023-01-01").cast("date")).cast("double").alias("day"), "contrast")
     s = audit.end_slope(f, ["source"], "day", "contrast", 0, 10_000)
     return s.select("source", "n", F.round("slope", 9).alias("slope"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Plain ASCII and the Vietnamese letters; the recogniser's vocabulary.
+# Plain ASCII and the Vietnamese letters; the recogniser's vocabulary.
 VOCAB = "".join(map(chr, range(32, 127))) + "ÀÁÂÃÈÉÊÌÍÒÓÔÕÙÚÝàáâãèéêìíòóôõùúýĂăĐđĨĩŨũƠơƯư" + "".join(map(chr, range(0x1EA0, 0x1EFA)))
 
 
@@ -20,12 +20,18 @@ def once(df: DataFrame, key: str = "pos") -> DataFrame:
     return df.groupBy(key).agg(F.min_by(F.struct(*cols), F.col(when)).alias("x")).select(key, "x.*")
 
 
-def instances(spark: SparkSession, d: str) -> DataFrame:
-    return once(table(spark, d, "instances"))
+def _first(spark: SparkSession, d: str, name: str, when: str, cols: tuple[str, ...]) -> DataFrame:
+    rows = table(spark, d, name)
+    return once(rows.select("pos", when, *[c for c in cols if c not in ("pos", when)]) if cols else rows)
 
 
-def feats(spark: SparkSession, d: str) -> DataFrame:
-    return once(table(spark, d, "feats"))
+def instances(spark: SparkSession, d: str, *cols: str) -> DataFrame:
+    """Records once, with ``pos`` and *cols* (all columns by default), of which alone the file is read."""
+    return _first(spark, d, "instances", "delivered_at", cols)
+
+
+def feats(spark: SparkSession, d: str, *cols: str) -> DataFrame:
+    return _first(spark, d, "feats", "loaded_at", cols)
 
 
 #: The same in SQL.

@@ -43,7 +43,7 @@ def score_literals(spark: SparkSession, d: str) -> DataFrame:
 
 def glyph_decompose(spark: SparkSession, d: str) -> DataFrame:
     """The parts of every character of the transcripts that has marks."""
-    used = instances(spark, d).select(F.explode(F.split(F.coalesce("text", F.lit("")), "")).alias("ch")).where("ch <> ''").distinct()
+    used = instances(spark, d, "text").select(F.explode(F.split(F.coalesce("text", F.lit("")), "")).alias("ch")).where("ch <> ''").distinct()
     return used.join(F.broadcast(glyphs.table(spark)), "ch").select("ch", "base", "modifier", "tone", "is_letter", "bears_mod", "bears_tone")
 
 
@@ -108,7 +108,7 @@ def insertion_attribution(spark: SparkSession, d: str) -> DataFrame:
 
 def gain_share(spark: SparkSession, d: str) -> DataFrame:
     """Characters the second seed fixes against the first, per source."""
-    p = table(spark, d, "predictions").join(instances(spark, d).select("pos", "source"), "pos")
+    p = table(spark, d, "predictions").join(instances(spark, d, "source").select("pos", "source"), "pos")
     c = score.axis_counts(score.op_rows(p, ["source", "seed"]), ["source", "seed"]).select("source", "seed", F.col("char_edits").alias("edits")).where("source is not null")
     g = seedstats.gain_share(c.where("seed = 1"), c.where("seed = 2"), ["source"], [])
     return g.select("source", "edits_before", "edits_after", "fixed", (F.round("share", 9) + 0.0).alias("share"))
@@ -116,7 +116,7 @@ def gain_share(spark: SparkSession, d: str) -> DataFrame:
 
 def _boxes(spark: SparkSession, d: str) -> DataFrame:
     """Regions as truth, do-not-care or, moved by a few pixels and less every seventh, prediction."""
-    i = instances(spark, d).where("poly is not null and size(poly) = 8").select("img_id", "pos", "poly", "scorable")
+    i = instances(spark, d, "img_id", "poly", "scorable").where("poly is not null and size(poly) = 8").select("img_id", "pos", "poly", "scorable")
     gt = i.select("img_id", "pos", "poly", F.when(F.col("scorable"), "gt").otherwise("dontcare").alias("kind"))
     pred = i.where("pos % 7 <> 0").select("img_id", "pos", F.transform("poly", lambda x: x + (F.col("pos") % 11).cast("int")).alias("poly"), F.lit("pred").alias("kind"))
     return gt.union(pred)
@@ -129,7 +129,7 @@ def iou_match_prf(spark: SparkSession, d: str) -> DataFrame:
 
 def overlap_antijoin(spark: SparkSession, d: str) -> DataFrame:
     """Free places beside regions, of the candidates around them, per split."""
-    i = instances(spark, d).where("poly is not null")
+    i = instances(spark, d, "img_id", "split", "poly").where("poly is not null")
     c = i.select("img_id", "split", "pos", F.array_max("poly").alias("m"), F.get("poly", F.lit(0)).alias("x"), F.get("poly", F.lit(1)).alias("y"))
     c = c.select("img_id", "split", "pos", F.inline(F.array(*[F.struct(F.lit(k).alias("k"), (F.col("x") + dx).alias("x0"), (F.col("y") + dy).alias("y0"), (F.col("x") + dx + 64).alias("x1"), (F.col("y") + dy + 32).alias("y1")) for k, (dx, dy) in enumerate([(0, 0), (200, 0), (0, 100), (400, 200)])])))
     return detection.free_patches(c, i.select("img_id", "poly")).groupBy("split", "k").agg(F.count("*").alias("n"))
@@ -149,7 +149,7 @@ def charset_generate(spark: SparkSession, d: str) -> DataFrame:
 
 def easy_samples(spark: SparkSession, d: str) -> DataFrame:
     """The first twenty easy records (the limit is the operator's)."""
-    return fonts.easy_samples(feats(spark, d)).select("pos", "height", "length")
+    return fonts.easy_samples(feats(spark, d, "length", "height", "contrast")).select("pos", "height", "length")
 
 
 def font_gate(spark: SparkSession, d: str) -> DataFrame:

@@ -13,8 +13,8 @@ SEED = "20260711"
 FRACTIONS = {"dense": 0.5, "small": 0.3, "low_contrast": 0.3, "plain": 0.06}
 
 
-def _scorable(spark: SparkSession, d: str) -> DataFrame:
-    return instances(spark, d).where("scorable and text is not null")
+def _scorable(spark: SparkSession, d: str, *cols: str) -> DataFrame:
+    return instances(spark, d, "scorable", "text", *cols).where("scorable and text is not null")
 
 
 def _fraction() -> F.Column:
@@ -26,13 +26,13 @@ def _fraction() -> F.Column:
 
 def _strata(spark: SparkSession, d: str) -> DataFrame:
     g = score.glyph_counts(_scorable(spark, d), "pos", "text")
-    f = feats(spark, d).join(g, "pos").select("pos", "split", "height", "contrast", "n_diacritic")
+    f = feats(spark, d, "split", "height", "contrast").join(g, "pos").select("pos", "split", "height", "contrast", "n_diacritic")
     return audit.first_match_stratum(f).select("pos", "split", "stratum")
 
 
 def stratified_sample(spark: SparkSession, d: str) -> DataFrame:
     """An exact share of every source, with weights."""
-    s = sampling.stratified_sample(_scorable(spark, d).select("pos", "source"), "source", "pos", F.lit(0.3), SEED)
+    s = sampling.stratified_sample(_scorable(spark, d, "source").select("pos", "source"), "source", "pos", F.lit(0.3), SEED)
     return s.select("pos", "source", "n_stratum", "n_sample", F.round("ht_weight", 9).alias("ht_weight"))
 
 
@@ -49,14 +49,14 @@ def gold_sample(spark: SparkSession, d: str) -> DataFrame:
 
 def ht_rate(spark: SparkSession, d: str) -> DataFrame:
     """Weighted share of long texts estimated from a stratified sample."""
-    rows = _scorable(spark, d).select("pos", "source", "split", F.length("text").alias("n"))
+    rows = _scorable(spark, d, "source", "split").select("pos", "source", "split", F.length("text").alias("n"))
     s = sampling.stratified_sample(rows, "source", "pos", F.lit(0.3), SEED)
     return sampling.ht_rate(s, ["split"], F.col("n") >= 9, F.col("ht_weight"))
 
 
 def nested_subsets(spark: SparkSession, d: str) -> DataFrame:
     """Training subsets of 10, 25, 50 and 100 percent, each within the next."""
-    return sampling.nested_subsets(_scorable(spark, d).where("split = 'train'").select("pos"), "pos", SEED, [10, 25, 50, 100])
+    return sampling.nested_subsets(_scorable(spark, d, "split").where("split = 'train'").select("pos"), "pos", SEED, [10, 25, 50, 100])
 
 
 def blind_subset(spark: SparkSession, d: str) -> DataFrame:
@@ -67,14 +67,14 @@ def blind_subset(spark: SparkSession, d: str) -> DataFrame:
 
 def probe_take(spark: SparkSession, d: str) -> DataFrame:
     """As many training as test records, drawn at random."""
-    s = _scorable(spark, d)
+    s = _scorable(spark, d, "split", "img_id")
     n = s.where("split = 'test'").count()
     return sampling.take_n(s.where("split = 'train'").select("pos", "img_id"), "pos", n, SEED)
 
 
 def every_fifth(spark: SparkSession, d: str) -> DataFrame:
     """Every fifth record, per source."""
-    return instances(spark, d).where("pos % 5 = 0").groupBy("source").agg(F.count("*").alias("n"))
+    return instances(spark, d, "source").where("pos % 5 = 0").groupBy("source").agg(F.count("*").alias("n"))
 
 
 def token_freq(spark: SparkSession, d: str) -> DataFrame:
@@ -91,7 +91,7 @@ def budgeted_prefix(spark: SparkSession, d: str) -> DataFrame:
 
 def bank_leakage(spark: SparkSession, d: str) -> DataFrame:
     """Test texts within and beyond the bank of training texts."""
-    s = _scorable(spark, d)
+    s = _scorable(spark, d, "split")
     bank = s.where("split = 'train'").select(F.col("text").alias("known"))
     inside = sampling.in_bank(s.where("split <> 'train'"), "text", bank, "known").groupBy("split").agg(F.count("*").alias("in_bank"))
     outside = sampling.in_bank(s.where("split <> 'train'"), "text", bank, "known", False).groupBy("split").agg(F.count("*").alias("beyond"))
@@ -100,12 +100,12 @@ def bank_leakage(spark: SparkSession, d: str) -> DataFrame:
 
 def split_disjoint(spark: SparkSession, d: str) -> DataFrame:
     """Images that two splits share."""
-    return sampling.shared_keys(instances(spark, d), "split", "img_id")
+    return sampling.shared_keys(instances(spark, d, "split", "img_id"), "split", "img_id")
 
 
 def pool_union(spark: SparkSession, d: str) -> DataFrame:
     """What a pooled training set is made of."""
-    a = _scorable(spark, d).where("split = 'train'").select("text")
+    a = _scorable(spark, d, "split").where("split = 'train'").select("text")
     b = table(spark, d, "documents").where("kind = 'sign' and text is not null").select("text")
     return sampling.composition(sampling.pool({"real": a, "made": b}, ["text"]))
 

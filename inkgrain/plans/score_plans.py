@@ -23,7 +23,7 @@ def score_by_seed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _by_source(spark: SparkSession, d: str) -> DataFrame:
-    src = instances(spark, d).select("pos", "source")
+    src = instances(spark, d, "source").select("pos", "source")
     return _pairs(spark, d).join(src, "pos")
 
 
@@ -90,7 +90,7 @@ def _pair_rows(spark: SparkSession, d: str) -> DataFrame:
 
 def stratified_metrics(spark: SparkSession, d: str) -> DataFrame:
     """Medians over seeds in every bin of height, contrast, length and tilt."""
-    return audit.stratified(_pair_rows(spark, d), feats(spark, d))
+    return audit.stratified(_pair_rows(spark, d), feats(spark, d, "height", "contrast", "length", "tilt"))
 
 
 def _values(spark: SparkSession, d: str) -> DataFrame:

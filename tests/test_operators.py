@@ -137,6 +137,7 @@ def test_detection_against_the_rule(spark):
                 rows.append((img, len(rows) + 100, [x + dx, y + dy, x + w + dx, y + dy, x + w + dx, y + h + dy, x + dx, y + h + dy], "pred"))
     df = spark.createDataFrame(rows, "img_id int, pos int, poly array<int>, kind string")
     got = {r["thr"]: (r["tp"], r["fp"], r["fn"]) for r in detection.match(df).collect()}
+    assert got == {r["thr"]: (r["tp"], r["fp"], r["fn"]) for r in detection.match(df, gather=3).collect()}
     for thr in detection.THRESHOLDS:
         each = [detection.match_one_image([(p, [float(v) for v in q], k) for i, p, q, k in rows if i == img], thr) for img in range(6)]
         assert got[thr] == tuple(map(sum, zip(*each)))
