@@ -49,8 +49,10 @@ def _on_grid(boxes: DataFrame, image: str, side: str) -> DataFrame:
     return b.withColumn("cx", _span(f"b_{side}.x0", f"b_{side}.x1")).withColumn("cy", _span(f"b_{side}.y0", f"b_{side}.y1"))
 
 
-def overlapping_pairs(a: DataFrame, b: DataFrame, image: str = "img_id") -> DataFrame:
-    """``(img, pos_a, pos_b, iou, cover)`` of the quads of two sets whose boxes share area.
+def overlapping_pairs(a: DataFrame, b: DataFrame, image: str = "img_id", iou: float = 0.0, cover: float | None = None) -> DataFrame:
+    """``(img, pos_a, pos_b, iou, cover)`` of the quads of two sets whose boxes share area, where the overlap may
+    reach *iou* or the part of the first one *cover*.  What two quads share lies within what their boxes share,
+    so pairs that can reach neither are left out before the quads are cut.
 
     Boxes meet by image and grid square, so an image with very many regions spreads over tasks, and
     a pair is kept only in the square of the shared part's first corner, so none comes twice.
@@ -58,27 +60,32 @@ def overlapping_pairs(a: DataFrame, b: DataFrame, image: str = "img_id") -> Data
     j = _on_grid(a, image, "a").join(_on_grid(b, image, "b"), ["img", "cx", "cy"])
     x, y = F.greatest("b_a.x0", "b_b.x0"), F.greatest("b_a.y0", "b_b.y0")
     meet = (x < F.least("b_a.x1", "b_b.x1")) & (y < F.least("b_a.y1", "b_b.y1")) & (F.floor(x / CELL) == F.col("cx")) & (F.floor(y / CELL) == F.col("cy"))
-    return j.where(meet).withColumn("o", quad_overlap("poly_a", "poly_b")).select("img", "pos_a", "pos_b", "o.iou", "o.cover")
+    shared = (F.least("b_a.x1", "b_b.x1") - x) * (F.least("b_a.y1", "b_b.y1") - y)
+    area_a, area_b = _shoelace(F.col("poly_a")), _shoelace(F.col("poly_b"))
+    enough = shared * 1.000001 >= F.greatest(area_a, area_b) * iou
+    if cover is not None:
+        enough = enough | (shared * 1.000001 >= area_a * cover)
+    return j.where(meet & F.coalesce(enough, F.lit(True))).withColumn("o", quad_overlap("poly_a", "poly_b")).select("img", "pos_a", "pos_b", "o.iou", "o.cover")
 
 
 GATHER = 200_000  #: overlaps of an image that one task may hold
 
 
 def _greedy(thresholds: list[float]):
-    """The rule on the overlaps of one image."""
+    """The rule on the overlaps of some images."""
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["pos_a", "iou", "pos_b"], ascending=[True, False, True])
-        rows = list(zip(part["pos_a"].tolist(), part["pos_b"].tolist(), part["iou"].tolist()))
+        rows = list(zip(part["img"].tolist(), part["pos_a"].tolist(), part["pos_b"].tolist(), part["iou"].tolist()))
         out = []
         for t in thresholds:
             used: set = set()
             served: set = set()
-            for a, b, iou in rows:
-                if iou >= t and a not in served and b not in used:
-                    served.add(a)
-                    used.add(b)
-                    out.append((float(t), part["img"].iloc[0], a, b))
+            for img, a, b, iou in rows:
+                if iou >= t and (img, a) not in served and (img, b) not in used:
+                    served.add((img, a))
+                    used.add((img, b))
+                    out.append((float(t), img, a, b))
         return pd.DataFrame(out, columns=["thr", "img", "pos_a", "pos_b"])
 
     return run
@@ -92,7 +99,7 @@ def match(boxes: DataFrame, thresholds: list[float] = THRESHOLDS, gather: int =
     do-not-care region (by overlap, or half its area) is not counted (J5).  Truths without area are
     left out.
 
-    An image with at most ``GATHER`` overlaps is matched in one task by the rule as it reads.  Of larger
+    An image with at most ``GATHER`` overlaps is matched in one task, with others, by the rule as it reads.  Of larger
     ones no image is gathered: a prediction whose best open truth is wanted by no earlier open prediction
     has it for sure; all such are matched at once, and again until none wants an open truth.  Both ways
     give the same matches.  No boxes give no rows.
@@ -100,11 +107,13 @@ def match(boxes: DataFrame, thresholds: list[float] = THRESHOLDS, gather: int =
     kind = lambda k: boxes.where((F.col("kind") == k) & (F.size("poly") == 8)).select("img_id", "pos", "poly")
     truth = kind("gt").where(_shoelace(F.col("poly")) > 0)
     pred = kind("pred")
-    met = settle(overlapping_pairs(pred, truth).where(F.col("iou") >= min(thresholds)))
+    met = settle(overlapping_pairs(pred, truth, iou=min(thresholds)).where(F.col("iou") >= min(thresholds)))
     thr = F.explode(F.array(*[F.lit(float(t)) for t in thresholds])).alias("thr")
-    many = settle(met.groupBy("img").agg(F.count("*").alias("n")).where(F.col("n") > gather).select("img"))
+    each = settle(met.groupBy("img").agg(F.count("*").alias("n")))
+    many = each.where(F.col("n") > gather).select("img")
+    parts = max(1, -(-(each.agg(F.sum("n")).first()[0] or 0) // min(gather, 50_000)))
     kind_of = {f.name: f.dataType.simpleString() for f in met.schema}
-    small = met.join(many, "img", "left_anti").groupBy("img").applyInPandas(_greedy(thresholds), f"thr double, img {kind_of['img']}, pos_a {kind_of['pos_a']}, pos_b {kind_of['pos_b']}")
+    small = met.join(many, "img", "left_anti").groupBy(F.pmod(F.xxhash64("img"), F.lit(parts)).alias("part")).applyInPandas(_greedy(thresholds), f"thr double, img {kind_of['img']}, pos_a {kind_of['pos_a']}, pos_b {kind_of['pos_b']}")
     matched = settle(small)
     edges = settle(met.join(many, "img", "left_semi").select("img", "pos_a", "pos_b", "iou", thr).where("iou >= thr"))
     key = ["thr", "img"]
@@ -115,7 +124,7 @@ def match(boxes: DataFrame, thresholds: list[float] = THRESHOLDS, gather: int =
         matched = matched.unionByName(won)
         edges = settle(edges.join(won.select(*key, "pos_a"), [*key, "pos_a"], "left_anti").join(won.select(*key, "pos_b"), [*key, "pos_b"], "left_anti"))
     tp = matched.groupBy("thr").agg(F.count("*").alias("n"))
-    excused = overlapping_pairs(pred, kind("dontcare")).select("img", "pos_a", "iou", "cover", thr).where((F.col("iou") >= F.col("thr")) | (F.col("cover") >= COVER)).select(*key, "pos_a").distinct()
+    excused = overlapping_pairs(pred, kind("dontcare"), iou=min(thresholds), cover=COVER).select("img", "pos_a", "iou", "cover", thr).where((F.col("iou") >= F.col("thr")) | (F.col("cover") >= COVER)).select(*key, "pos_a").distinct()
     excused = excused.join(matched, [*key, "pos_a"], "left_anti")
     ex = excused.groupBy("thr").agg(F.count("*").alias("ex"))
     sizes = pred.agg(F.count("*").alias("n_pred")).crossJoin(truth.agg(F.count("*").alias("n_gt")))
