@@ -1,18 +1,25 @@
 """Problem 7: mixing sources to target weights.
 
-Method: Pfair scheduling.  The mix is cut into equal blocks of tokens.  Block j of a source with
+Method: Pfair scheduling.  The mix is cut into blocks of a given number of tokens.  Block j of a source with
 weight w is released at slot floor(j / w) and due by slot ceil((j + 1) / w); in each slot the
-released block that is due first is taken.  At every point of the mix each source is then within
-one block of its share.  There are at most ``blocks`` slots whatever the data, so the schedule is
-made by the driver; records are dealt to blocks by prefix sums of their sizes.
+released block that is due first is taken.  At every point of a schedule each source is then within
+one block of its share.
+
+A long mix is cut into stretches of ``STRETCH`` slots.  A stretch holds the blocks that fall due in it and is
+scheduled on its own, with their shares as weights, in parallel; so a source is within one block of its
+share at the end of every stretch, and within two inside.  The block does not grow with the data, and no
+schedule is made by the driver.  Records are dealt to blocks by prefix sums of their sizes.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Iterator
 from fractions import Fraction
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -74,7 +81,28 @@ def pfair(weights: dict[str, Fraction], slots: int) -> list[tuple[int, str, int]
     return out
 
 
-def mix(sized: DataFrame, targets: DataFrame, key: str, total: int | None = None, blocks: int = 5000) -> DataFrame:
+BLOCK = 8_192  #: tokens of a block
+STRETCH = 5_000  #: slots that are scheduled at once
+BROADCAST_SLOTS = 50_000  #: slots are broadcast up to so many, else joined by shuffle
+
+
+def due(weights: dict[str, Fraction], blocks: dict[str, int], stretch: int, last: int) -> dict[str, int]:
+    """Blocks of each source that fall due by the end of a stretch (the *last* takes what is left)."""
+    if stretch >= last:
+        return blocks
+    return {s: min(blocks[s], math.floor(stretch * STRETCH * w)) for s, w in weights.items()}
+
+
+def schedule(weights: dict[str, Fraction], blocks: dict[str, int], stretch: int, last: int) -> list[tuple[int, str, int]]:
+    """``(slot, source, block)`` of a stretch, counted from 1; slots of later stretches are higher."""
+    first, upto = due(weights, blocks, stretch - 1, last), due(weights, blocks, stretch, last)
+    own = {s: upto[s] - first[s] for s in weights if upto[s] > first[s]}
+    n = sum(own.values())
+    base = (stretch - 1) * (STRETCH + len(weights) + 1)
+    return [(base + slot, s, first[s] + j) for slot, s, j in pfair({s: Fraction(k, n) for s, k in own.items()}, n)] if n else []
+
+
+def mix(sized: DataFrame, targets: DataFrame, key: str, total: int | None = None, block: int = BLOCK) -> DataFrame:
     """``(mix, source, key, copy, n_tokens, slot, at)``: the records of every mix, in the order
     ``slot, at, key, copy``.
 
@@ -83,7 +111,7 @@ def mix(sized: DataFrame, targets: DataFrame, key: str, total: int | None = None
     that crosses a source's quota is taken if at least half of it lies within.  Records without
     tokens or source are never needed and left out; a target without a positive share or repeats
     gives nothing.  Repeated keys are records of their own.  Empty tables give an empty mix.
-    Driver and broadcast hold one row for each source of ``targets`` and each slot.
+    The driver holds one row for each source of ``targets``.
     """
     spark = sized.sparkSession
     wanted: dict[str, dict[str, tuple[float, int]]] = {}
@@ -94,34 +122,38 @@ def mix(sized: DataFrame, targets: DataFrame, key: str, total: int | None = None
     records = sized.where(F.col("source").isin(used) & (F.col("n_tokens") > 0)).select(key, "source", F.col("n_tokens").cast("long").alias("n_tokens"))
     sizes = {r["source"]: r["s"] for r in records.groupBy("source").agg(F.sum("n_tokens").alias("s")).collect()}
     plan: list[tuple] = []
-    slots: list[tuple] = []
+    stretches: list[DataFrame] = []
+    of: dict[str, tuple[dict[str, Fraction], dict[str, int], int]] = {}
+    n_slots = 0
     for m, t in sorted(wanted.items()):
-        quota = quotas(sizes, t, total)
-        all_tokens = sum(quota.values())
-        if not all_tokens:
+        quota = {s: q for s, q in quotas(sizes, t, total).items() if q > 0}
+        if not quota:
             continue
-        block = max(1.0, all_tokens / blocks)
         whole = sum(Fraction(q) for q in quota.values())
-        weights = {s: Fraction(q) / whole for s, q in quota.items() if q > 0}
-        for s in weights:
-            plan.append((m, s, float(quota[s]), t[s][1], sizes[s], block))
-        last: dict[str, int] = {}
-        for slot, s, j in pfair(weights, math.ceil(all_tokens / block) + 1):
-            slots.append((m, s, j, slot))
-            last[s] = j
-        for s in weights:  # a rounded-off end still has its slot
-            for j in range(last.get(s, -1) + 1, math.floor(quota[s] / block) + 1):
-                slots.append((m, s, j, math.ceil(j / weights[s])))
+        blocks = {s: math.floor(q / block) + 1 for s, q in quota.items()}
+        last = max(1, math.ceil(sum(quota.values()) / block / STRETCH))
+        of[m] = {s: Fraction(q) / whole for s, q in quota.items()}, blocks, last
+        plan += [(m, s, float(q), t[s][1], sizes[s]) for s, q in quota.items()]
+        stretches.append(spark.range(1, last + 1, 1, min(last, 10_000)).select(F.lit(m).alias("mix"), F.col("id").alias("stretch")))
+        n_slots += sum(blocks.values())
+    empty = spark.createDataFrame([], "mix string, stretch long")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for m, k in zip(b["mix"], b["stretch"]):
+                rows = schedule(*of[m][:2], int(k), of[m][2])
+                yield pd.DataFrame([(m, s, j, slot) for slot, s, j in rows], columns=["_mix", "_source", "_j", "slot"])
+
+    slots = reduce(DataFrame.union, stretches, empty).mapInPandas(run, "_mix string, _source string, _j long, slot long")
     spread = prefix_sum(records, ["source"], [key], F.col("n_tokens"), "before", 256)
-    quota_of = F.broadcast(spark.createDataFrame(plan, "mix string, _source string, quota double, repeats int, size long, block double"))
+    quota_of = F.broadcast(spark.createDataFrame(plan, "mix string, _source string, quota double, repeats int, size long"))
     each = spread.join(quota_of, F.col("source") == F.col("_source"))
     passes = F.least(F.col("repeats").cast("long"), F.ceil(F.col("quota") / F.col("size")))
-    each = each.select("mix", "source", key, "n_tokens", "before", "quota", "size", "block", F.explode(F.sequence(F.lit(0).cast("long"), passes - 1)).alias("copy"))
+    each = each.select("mix", "source", key, "n_tokens", "before", "quota", "size", F.explode(F.sequence(F.lit(0).cast("long"), passes - 1)).alias("copy"))
     each = each.withColumn("at", F.col("copy") * F.col("size") + F.col("before")).where(F.col("at") + F.col("n_tokens") / 2 <= F.col("quota"))
-    each = each.withColumn("j", F.floor(F.col("at") / F.col("block")).cast("long"))
-    when = F.broadcast(spark.createDataFrame(slots, "_mix string, _source string, _j long, slot long"))
+    each = each.withColumn("j", F.floor(F.col("at") / block).cast("long"))
     on = (F.col("mix") == F.col("_mix")) & (F.col("source") == F.col("_source")) & (F.col("j") == F.col("_j"))
-    return each.join(when, on, "left").select("mix", "source", key, "copy", "n_tokens", "slot", "at")
+    return each.join(F.broadcast(slots) if n_slots <= BROADCAST_SLOTS else slots, on, "left").select("mix", "source", key, "copy", "n_tokens", "slot", "at")
 
 
 def reached(mixed: DataFrame, targets: DataFrame) -> DataFrame:

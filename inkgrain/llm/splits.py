@@ -24,6 +24,7 @@ from inkgrain.session import settle
 
 ALL = ""  #: the label every row carries, so that total sizes are balanced too
 HEAVY = 1000
+LABELS = 100_000  #: labels at most; the driver and every block hold the need of each
 
 
 def photo_number(path: Column) -> Column:
@@ -68,6 +69,7 @@ def grouped_split(
     attribute whose distribution each split should keep.  ``shares`` need not sum to 1.
     Rows with a null label count towards the size of a split only; a null entity forms one component of all its rows
     (it names no group that could be told apart), returned with a null entity.
+    More than ``LABELS`` different labels are an error: such a label names records rather than kinds of them.
     Repeated rows count as rows.  An empty table gives an empty result.  Extra columns of any
     name are ignored.
     """
@@ -82,6 +84,8 @@ def grouped_split(
     sized = pairs.groupBy("e", "label").agg(F.sum("n").alias("n"))
     vectors = settle(sized.join(roots, sized.e == roots.node, "left").select("e", "label", "n", F.coalesce("root", "e").alias("c")))
     of = vectors.groupBy("c", "label").agg(F.sum("n").alias("n"))
+    if vectors.select("label").distinct().count() > LABELS:
+        raise ValueError(f"more than {LABELS} labels: stratify by a coarser attribute")
     whole = {r["label"]: r["n"] for r in vectors.groupBy("label").agg(F.sum("n").alias("n")).collect()}
     rows = sum(whole.values())
     whole.pop(None, None)

@@ -168,6 +168,22 @@ def test_pfair_stays_within_a_block(weights):
         assert all(abs(done[x] - w[x] * (slot + 1)) < 1 for x in w)
 
 
+@pytest.mark.parametrize("stretch", [7, 50, 5000])
+def test_stretches_keep_the_shares(monkeypatch, stretch):
+    monkeypatch.setattr(mixing, "STRETCH", stretch)
+    w = {"a": Fraction(5, 9), "b": Fraction(1, 3), "c": Fraction(1, 9)}
+    n = 2000
+    blocks = {s: math.floor(n * x) + 1 for s, x in w.items()}
+    last = -(-n // stretch)
+    rows = [x for k in range(1, last + 1) for x in mixing.schedule(w, blocks, k, last)]
+    assert [x[0] for x in rows] == sorted({x[0] for x in rows}) and len(rows) == sum(blocks.values())
+    done = dict.fromkeys(w, 0)
+    for i, (_, s, j) in enumerate(rows, 1):
+        assert j == done[s]
+        done[s] += 1
+        assert all(abs(done[x] - w[x] * i) < 2 for x in w)
+
+
 def test_quotas():
     assert mixing.quotas({"a": 100, "b": 10}, {"a": (0.5, 1), "b": (0.5, 2)}) == {"a": 20, "b": 20}
     assert mixing.quotas({"a": 100}, {"a": (0.5, 1), "none": (0.5, 1)}) == {"a": 100}
@@ -179,7 +195,7 @@ def test_mix(spark):
     r = random.Random(4)
     docs = spark.createDataFrame([(i, r.choice(["hot"] * 6 + ["b", "tiny", None]), r.randint(0, 40), 1, "z") for i in range(4000)], "doc_id long, source string, n_tokens long, slot int, quota string")
     goal = spark.createDataFrame([("m", "hot", 0.5, 1), ("m", "b", 0.3, 3), ("m", "gone", 0.2, 2), ("q", "tiny", 1.0, 2), ("r", "gone", 1.0, 1)], "mix string, source string, target_share double, max_repeats int")
-    mixed = mixing.mix(docs, goal, "doc_id", blocks=400)
+    mixed = mixing.mix(docs, goal, "doc_id", block=150)
     rows = mixed.collect()
     used = {}
     for x in rows:
@@ -194,7 +210,8 @@ def test_mix(spark):
     for x in part:
         sofar[x["source"]] += x["n_tokens"]
         at += x["n_tokens"]
-        assert abs(sofar["hot"] - 0.625 * at) < 2 * total / 400 + 80
+        assert abs(sofar["hot"] - 0.625 * at) < 2 * 150 + 80
+    assert total / 150 > 200
     assert mixing.mix(docs.limit(0), goal, "doc_id").count() == 0 and mixing.mix(docs, goal.limit(0), "doc_id").count() == 0
 
 
