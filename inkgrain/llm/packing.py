@@ -1,10 +1,14 @@
 """Problem 6: filling fixed-capacity containers with items.
 
-Method: the configuration linear program over the histogram of lengths (how many containers to
-fill in each way), solved by multiplicative weights with a knapsack dynamic program as pricing,
-then rounded.  The histogram has at most ``capacity`` entries however many items there are, so the
-program is solved by the driver; items then find their place by their rank among items of the same
-length, in parallel.
+Method: the configuration program over the histogram of lengths (how many containers to fill in each
+way), solved by multiplicative weights with a knapsack dynamic program as pricing.  A length's weight falls as
+its items are covered, a round takes the filling of most weight, and it takes each a whole number of times and
+no more items than are left, so rounding is part of every round and nothing is left over: the rounds go on
+until all items are covered.  The number of containers against the least by volume (the dual bound with
+weights in proportion to length) is the gap.
+
+The histogram has at most ``capacity`` entries however many items there are, so the program is solved by
+the driver; items then find their place by their rank among items of the same length, in parallel.
 """
 
 from __future__ import annotations
@@ -22,110 +26,72 @@ from inkgrain.session import settle
 Runs = list[tuple[int, dict[int, int]]]  #: (number of containers, length -> items in each)
 
 
-def price(values: np.ndarray, lengths: np.ndarray, capacity: int) -> dict[int, int]:
-    """The most valuable filling: unbounded knapsack over lengths, ``best[c]`` for each room c."""
-    best = np.zeros(capacity + 1)
-    took = np.zeros(capacity + 1, dtype=np.int64)
-    upto = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
-    for c in range(1, capacity + 1):
-        best[c], took[c] = best[c - 1], 0
-        k = upto[c]
-        if k:
-            gain = best[c - lengths[:k]] + values[:k]
-            i = int(np.argmax(gain))
-            if gain[i] > best[c]:
-                best[c], took[c] = gain[i], lengths[i]
-    out: dict[int, int] = {}
-    c = capacity
-    while c > 0:
-        if took[c]:
-            n = int(took[c])
-            out[n] = out.get(n, 0) + 1
-            c -= n
-        else:
-            c -= 1
-    return out
+RATE = 0.1  #: part of a length's items that one filling may use up
+ETA = 1.0  #: a length's weight falls by ``exp(-ETA)`` until it is covered
+LEAD, SPREAD = 48, 80  #: lengths priced in a round: the least covered, and some of all others
 
 
-def fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int, rate: float) -> list[tuple[float, dict[int, int]]]:
-    """Fillings with (fractional) numbers of containers that cover ``counts``.
-
-    Multiplicative weights: every length has a weight, the filling of most weight is taken as
-    often as uses up a ``rate`` part of the demand of its scarcest length, and the weights of what
-    it covers fall by the part covered.
-    """
-    weight = lengths / capacity
-    covered = np.zeros(len(lengths))
-    at = {int(n): i for i, n in enumerate(lengths)}
-    out: list[tuple[float, dict[int, int]]] = []
-    for _ in range(rounds):
-        need = covered < counts
-        if not need.any():
-            break
-        live = np.flatnonzero(need)
-        # a length is worth its size, more the further it lags behind
-        lag = np.exp((covered[live] / counts[live]).mean() - covered[live] / counts[live])
-        values = weight[live] * lag
-        fill = price(values, lengths[live], capacity)
-        idx = np.array([at[n] for n in fill])
-        per = np.array(list(fill.values()), dtype=float)
-        times = float(np.min(np.maximum(rate * counts[idx], 1.0) / per))
-        times = min(times, float(np.min((counts[idx] - covered[idx]) / per)) if np.all(counts[idx] - covered[idx] > 0) else times)
-        covered[idx] += per * times
-        out.append((times, fill))
+def price(items: list[int], values: list[float], capacity: int) -> list[int]:
+    """The most valuable set of *items* (their places) that fits, each taken once at most: 0/1 knapsack."""
+    best = np.zeros(capacity + 1)
+    took = np.zeros((len(items), capacity + 1), dtype=bool)
+    for i, (n, v) in enumerate(zip(items, values)):
+        if n > capacity:
+            continue
+        with_it = best[: capacity + 1 - n] + v
+        took[i, n:] = with_it > best[n:]
+        best[n:] = np.maximum(with_it, best[n:])
+    out, room = [], capacity
+    for i in range(len(items) - 1, -1, -1):
+        if took[i, room]:
+            out.append(i)
+            room -= items[i]
     return out
 
 
-def fill_rest(left: dict[int, int], capacity: int) -> Runs:
-    """What rounding leaves: best fit by whole lengths, each filling repeated as often as it can."""
-    runs: Runs = []
-    left = {n: k for n, k in left.items() if k > 0}
-    while left:
-        room, fill = capacity, {}
-        for n in sorted(left, reverse=True):
-            k = min(left[n], room // n)
-            if k:
-                fill[n] = k
-                room -= k * n
-        times = min(left[n] // k for n, k in fill.items())
-        runs.append((times, fill))
-        for n, k in fill.items():
-            left[n] -= k * times
-            if not left[n]:
-                del left[n]
-    return runs
-
-
-def effort(capacity: int) -> int:
-    """Rounds for a capacity: pricing takes time as the square of it."""
-    return min(800, max(100, 400_000 // capacity))
-
-
-def plan(histogram: dict[int, int], capacity: int, rounds: int | None = None) -> Runs:
+def plan(histogram: dict[int, int], capacity: int) -> Runs:
     """Whole numbers of containers and their fillings for ``histogram`` (length -> items, lengths in
-    ``1..capacity``).  No container is over-full and every item has one place.  What the rounds
-    leave uncovered, mostly lengths with few items, is filled by ``fill_rest``."""
-    rounds = rounds or effort(capacity)
-    rate = min(0.5, 160 / rounds)
+    ``1..capacity``).  No container is over-full and every item has one place.
+
+    A round prices the ``LEAD`` least covered lengths and ``SPREAD`` of the others, evenly over their range, as
+    so many are enough to fill a container to the brim.  Rounds grow with the capacity, not with the items.
+    """
     lengths = np.array(sorted(n for n, k in histogram.items() if k > 0), dtype=np.int64)
     if not len(lengths):
         return []
     if lengths[0] < 1 or lengths[-1] > capacity:
         raise ValueError("lengths must lie in 1..capacity")
-    counts = np.array([histogram[int(n)] for n in lengths], dtype=float)
-    left = {int(n): int(k) for n, k in zip(lengths, counts)}
-    merged: dict[tuple, float] = {}
-    for times, fill in fractional(lengths, counts, capacity, rounds, rate):
-        key = tuple(sorted(fill.items()))
-        merged[key] = merged.get(key, 0.0) + times
+    counts = np.array([histogram[int(n)] for n in lengths], dtype=np.int64)
+    left = counts.copy()
     runs: Runs = []
-    for key, times in sorted(merged.items(), key=lambda kv: (-sum(n * k for n, k in kv[0]), kv[0])):
-        whole = min(int(times + 1e-9), *(left[n] // k for n, k in key))
-        if whole > 0:
-            runs.append((whole, dict(key)))
-            for n, k in key:
-                left[n] -= whole * k
-    return runs + fill_rest(left, capacity)
+    while left.any():
+        live = np.flatnonzero(left)
+        covered = 1 - left[live] / counts[live]
+        order = live[np.lexsort((-lengths[live], covered))]
+        others = np.sort(order[LEAD:])
+        if len(others) > SPREAD:
+            others = others[np.linspace(0, len(others) - 1, SPREAD).astype(int)]
+        sizes: list[int] = []
+        values: list[float] = []
+        what: list[tuple[int, int]] = []
+        for i in np.sort(np.concatenate((order[:LEAD], others))):
+            weight = lengths[i] / capacity * np.exp(-ETA * (1 - left[i] / counts[i]))
+            n, times = min(int(left[i]), capacity // int(lengths[i])), 1
+            while n > 0:  # bundles of 1, 2, 4, ... give every number of items
+                k = min(times, n)
+                sizes.append(int(lengths[i]) * k)
+                values.append(float(weight) * k)
+                what.append((int(i), k))
+                n, times = n - k, times * 2
+        fill: dict[int, int] = {}
+        for at in price(sizes, values, capacity):
+            i, k = what[at]
+            fill[i] = fill.get(i, 0) + k
+        times = max(1, min(min(int(left[i]), int(RATE * counts[i])) // k for i, k in fill.items()))
+        for i, k in fill.items():
+            left[i] -= k * times
+        runs.append((times, {int(lengths[i]): k for i, k in fill.items()}))
+    return runs
 
 
 def pieces(sized: DataFrame, key: str, capacity: int) -> DataFrame:
@@ -136,7 +102,7 @@ def pieces(sized: DataFrame, key: str, capacity: int) -> DataFrame:
     return cut.select(key, "piece", (F.col("piece") * capacity).alias("start"), F.least(F.lit(capacity), F.col("n_tokens") - F.col("piece") * capacity).alias("size"))
 
 
-def pack(sized: DataFrame, key: str, capacity: int, rounds: int | None = None) -> DataFrame:
+def pack(sized: DataFrame, key: str, capacity: int) -> DataFrame:
     """``sized(key, n_tokens)`` -> ``(key, piece, start, size, container)``, containers numbered from 0.
 
     Every item gets a place, whole unless it alone exceeds ``capacity``; no container holds more.
@@ -147,7 +113,7 @@ def pack(sized: DataFrame, key: str, capacity: int, rounds: int | None = None) -
     sized = sized.select(key, F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"))
     parts = settle(pieces(sized, key, capacity))
     hist = {r["size"]: r["n"] for r in parts.groupBy("size").agg(F.count("*").alias("n")).collect()}
-    runs = plan({n: k for n, k in hist.items() if n > 0}, capacity, rounds)
+    runs = plan({n: k for n, k in hist.items() if n > 0}, capacity)
     total = max(1, sum(t for t, _ in runs))
     spots: dict[int, list[tuple[int, int, int]]] = {}
     base = 0

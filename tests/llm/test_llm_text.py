@@ -91,7 +91,7 @@ def first_fit(sizes, capacity):
 def test_packing(spark):
     r = random.Random(2)
     rows = [(i, r.choice([r.randint(1, 300), 37, 37, 37, 0, 256, 700]), 1, 2, "x") for i in range(3000)] + [(9, None, 1, 2, "x"), (9, 5, 1, 2, "x")]
-    got = packing.pack(sized(spark, rows), "k", 256, 60).collect()
+    got = packing.pack(sized(spark, rows), "k", 256).collect()
     load = {}
     for g in got:
         load[g["container"]] = load.get(g["container"], 0) + g["size"]
@@ -113,29 +113,44 @@ def test_packing(spark):
 
 def test_plan_places_all_items():
     for hist, cap in (({3: 7, 5: 4}, 8), ({1: 1}, 1), ({}, 5), ({6: 3, 4: 3}, 10), ({7: 5}, 10)):
-        runs = packing.plan(hist, cap, 30)
+        runs = packing.plan(hist, cap)
         placed = {}
         for times, fill in runs:
             assert sum(n * k for n, k in fill.items()) <= cap
             for n, k in fill.items():
                 placed[n] = placed.get(n, 0) + times * k
         assert placed == hist
-    assert sum(t for t, _ in packing.plan({6: 3, 4: 3}, 10, 30)) == 3
+    assert sum(t for t, _ in packing.plan({6: 3, 4: 3}, 10)) == 3
 
 
 def test_pricing_is_optimal():
     import itertools
 
-    import numpy as np
+    r = random.Random(1)
+    for _ in range(30):
+        items = [r.randint(1, 12) for _ in range(8)]
+        values = [r.random() for _ in items]
+        got = packing.price(items, values, 20)
+        assert sum(items[i] for i in got) <= 20 and len(set(got)) == len(got)
+        best = max(sum(c * v for c, v in zip(cs, values)) for cs in itertools.product((0, 1), repeat=8) if sum(c * n for c, n in zip(cs, items)) <= 20)
+        assert sum(values[i] for i in got) == pytest.approx(best)
+
 
-    r = np.random.default_rng(1)
-    for _ in range(20):
-        lengths = np.sort(r.choice(np.arange(2, 12), 4, replace=False))
-        values = r.random(4)
-        fill = packing.price(values, lengths, 20)
-        assert sum(n * k for n, k in fill.items()) <= 20
-        best = max(sum(c * v for c, v in zip(cs, values)) for cs in itertools.product(range(11), repeat=4) if sum(c * n for c, n in zip(cs, lengths)) <= 20)
-        assert sum(values[list(lengths).index(n)] * k for n, k in fill.items()) == pytest.approx(best)
+@pytest.mark.parametrize("capacity", [64, 1000])
+def test_the_program_comes_near_the_least_by_volume(capacity):
+    r = random.Random(3)
+    hist = {}
+    for _ in range(20_000):
+        n = max(1, min(capacity, int(r.lognormvariate(math.log(capacity / 8), 1))))
+        hist[n] = hist.get(n, 0) + 1
+    runs = packing.plan(hist, capacity)
+    placed = {}
+    for times, fill in runs:
+        assert sum(n * k for n, k in fill.items()) <= capacity
+        for n, k in fill.items():
+            placed[n] = placed.get(n, 0) + k * times
+    assert placed == hist
+    assert sum(t for t, _ in runs) <= 1.01 * sum(n * k for n, k in hist.items()) / capacity + 1
 
 
 def test_token_counts(spark):
