@@ -75,6 +75,11 @@ def bbox(p: Column) -> Column:
     return F.struct(F.array_min(xs).alias("x0"), F.array_min(ys).alias("y0"), F.array_max(xs).alias("x1"), F.array_max(ys).alias("y1"))
 
 
+def michelson(low: Column, high: Column) -> Column:
+    """Contrast of the 5th and 95th percentile of grey values: their difference over their sum."""
+    return (high - low) / (high + low + 1e-6)
+
+
 def _area(p) -> float:
     return sum(x0 * y1 - x1 * y0 for (x0, y0), (x1, y1) in zip(p, [*p[1:], p[0]])) / 2
 

@@ -133,7 +133,7 @@ def text_profile(rows: DataFrame, by: list[str], text: str) -> DataFrame:
     t = F.col(text)
     share = lambda c: F.round(F.avg(c.cast("int")), 9)
     q = F.percentile(F.length(t), F.array(F.lit(0.5), F.lit(0.9)))
-    g = rows.where(t.isNotNull() & (t != "")).groupBy(*by).agg(F.count("*").alias("n"), F.round(F.avg(F.size(word_list(t))), 9).alias("mean_tokens"), q.alias("q"), share((F.upper(t) == t) & (F.lower(t) != t)).alias("upper"), share(F.lower(t) != F.upper(t)).alias("has_letter"), share(t.rlike(r"\p{Ll}")).alias("has_lower"), share(t.rlike("[0-9]")).alias("has_digit"), share(F.length(t) == 1).alias("one_char"))
+    g = rows.where(t.isNotNull() & (t != "")).groupBy(*by).agg(F.count("*").alias("n"), F.round(F.avg(F.size(word_list(t))), 9).alias("mean_tokens"), q.alias("q"), share((F.upper(t) == t) & (F.lower(t) != t)).alias("upper"), share(t.rlike(r"\p{Lu}") & ~t.rlike(r"(^|[^\p{L}])\p{Ll}|\p{L}\p{Lu}")).alias("title"), share(F.lower(t) != F.upper(t)).alias("has_letter"), share(t.rlike(r"\p{Ll}")).alias("has_lower"), share(t.rlike("[0-9]")).alias("has_digit"), share(F.length(t) == 1).alias("one_char"))
     return g.withColumns({"median_len": F.get("q", F.lit(0)), "p90_len": F.get("q", F.lit(1))}).drop("q")
 
 

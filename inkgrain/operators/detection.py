@@ -19,8 +19,10 @@ def free_patches(patches: DataFrame, boxes: DataFrame, image: str = "img_id") ->
 
     Patches and boxes meet by image and grid square, so an image with very many regions spreads over
     tasks; a patch is free when it is in none of its squares.  Equal patches share one answer; an image or
-    place that is null overlaps nothing.
+    place that is null overlaps nothing.  Where patches have a column ``std``, plain ones (under 1) are not kept.
     """
+    if "std" in patches.columns:
+        patches = patches.where(F.col("std") >= 1)
     own = [image, "x0", "y0", "x1", "y1"]
     p = patches.select(*own).distinct().where(" and ".join(f"{c} is not null" for c in own) + " and x0 < x1 and y0 < y1")
     p = p.withColumn("cx", _span("x0", "x1")).withColumn("cy", _span("y0", "y1"))

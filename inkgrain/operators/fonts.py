@@ -59,7 +59,9 @@ def checked_selection(selected: DataFrame, verdicts: DataFrame) -> DataFrame:
 
 def easy_samples(rows: DataFrame, n: int = 20) -> DataFrame:
     """The first *n* rows by ``pos`` that any reader should get right: four characters, 32 pixels,
-    a wide range of grey (F10, W9)."""
+    a wide range of grey and, where there is a column ``std``, a wide spread (F10, W9)."""
+    if "std" in rows.columns:
+        rows = rows.where(F.col("std") > 0.22)
     return rows.where((F.col("length") >= 4) & (F.col("height") >= 32) & (F.col("contrast") > 0.75) & ~F.isnan("contrast")).orderBy("pos").limit(n)
 
 
@@ -68,6 +70,17 @@ def patch_weights(patches: DataFrame) -> DataFrame:
     return patches.withColumn("weight", 0.15 + F.col("edge_density"))
 
 
+# What a gap between test and train error, and the test error itself, speak for.
+LARGE_GAP, LOW_CER = 5.0, 0.10
+
+
+def probe_reading(gap_pp: Column, test: Column) -> Column:
+    """How to read a probe (C14): a large gap speaks of seen training texts, a small one with a low error of all
+    texts seen, a small one with a high error of none.  Null where either is."""
+    known = gap_pp.isNotNull() & test.isNotNull()
+    return F.when(known, F.when(gap_pp >= LARGE_GAP, "train seen: escalate").when(test <= LOW_CER, "all seen: escalate").otherwise("no sign of exposure"))
+
+
 def probe_gap(scores: DataFrame, by: list[str], split: str = "split", metric: str = "cer") -> DataFrame:
     """Test minus train error in percentage points; a large gap speaks of seen texts."""
     part = lambda s: F.max(F.when(F.col(split) == s, F.col(metric)))

@@ -80,6 +80,21 @@ def cooled(events: DataFrame, hours: int = 24) -> DataFrame:
     return first.join(second, "idx").withColumn("age_h", F.round(age, 6)).withColumn("cooled", age >= hours)
 
 
+def merge_artifact(old: DataFrame, new: DataFrame, key: str, numbers: list[str], drop: list[str] | None = None, derived: dict | None = None, first: list[str] | None = None) -> DataFrame:
+    """``upsert`` in full (K6): keys of *drop* go, rows of *derived* (key -> rows made from all others) are always
+    made anew, and rows come in a fixed order: *first*, then derived ones, then the rest by key."""
+    derived = derived or {}
+    gone = [*(drop or []), *derived]
+    rows = upsert(old.where(~F.col(key).isin(gone)) if gone else old, new.where(~F.col(key).isin(gone)) if gone else new, key, numbers)
+    out = rows
+    for make in derived.values():
+        out = out.unionByName(make(rows))
+    rank = F.lit(len(first or []) + len(derived))
+    for i, k in reversed(list(enumerate([*(first or []), *derived]))):
+        rank = F.when(F.col(key) == k, i).otherwise(rank)
+    return out.orderBy(rank, key)
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str, numbers: list[str]) -> DataFrame:
     """New rows replace old ones of the same key, other old rows stay; a new row whose numbers are
     null or NaN raises (K6)."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkgrain.functions import geometry, text
+from inkgrain.functions import geometry, glyphs, registry, text
 from inkgrain.operators import audit, score
 from inkgrain.plans.common import CLASS, FEATS, INSTANCES, VOCAB, feats, instances, table
 
@@ -123,7 +123,22 @@ def height_slope(spark: SparkSession, d: str) -> DataFrame:
     return s.select("source", "n", F.round("slope", 9).alias("slope"))
 
 
-QUERIES = {f.__name__: f for f in (split_audit, charset_inventory, vocab_coverage, oov_antijoin, label_integrity, normal_states, dont_care_forms, bad_polys, training_filter, quad_features, diacritic_counts, text_profile, percentile_summary, coverage_audit, strata_bins, strata_first_match, hygiene_warnings, height_slope)}
+def michelson_contrast(spark: SparkSession, d: str) -> DataFrame:
+    """Contrast of each capture campaign, its heights taken for grey values."""
+    f = feats(spark, d, "source", "height").where("height is not null")
+    q = f.groupBy("source").agg(F.percentile(F.col("height").cast("double"), F.array(F.lit(0.05), F.lit(0.95))).alias("q"))
+    return q.select("source", F.round(geometry.michelson(F.get("q", F.lit(0)), F.get("q", F.lit(1))), 9).alias("contrast"))
+
+
+def sql_functions(spark: SparkSession, d: str) -> DataFrame:
+    """The functions by name in SQL: distances and words of all pairs, and the parts of their first letters."""
+    registry.register(spark)
+    table(spark, d, "predictions").createOrReplaceTempView("ink_pairs")
+    return spark.sql("""select tone, count(*) as n, sum(ink_edit_distance(r, h)) as edits, sum(size(ink_words(r))) as words
+      from (select ink_nfc(ink_clean(ref)) as r, ink_nfc(ink_clean(coalesce(hyp, ''))) as h, ink_decompose(substr(ink_nfc(ink_clean(ref)), 1, 1)).tone as tone from ink_pairs where ref is not null) group by tone""")
+
+
+QUERIES = {f.__name__: f for f in (michelson_contrast, sql_functions, split_audit, charset_inventory, vocab_coverage, oov_antijoin, label_integrity, normal_states, dont_care_forms, bad_polys, training_filter, quad_features, diacritic_counts, text_profile, percentile_summary, coverage_audit, strata_bins, strata_first_match, hygiene_warnings, height_slope)}
 
 _NFC = r"nfc_normalize(regexp_replace({c}, '\p{{Cf}}', '', 'g'))"
 _T = _NFC.format(c="text")
@@ -156,6 +171,8 @@ def _bins() -> str:
 
 
 SQL = {
+    "michelson_contrast": f"with {FEATS}, a as (select source, quantile_cont(height::double, 0.05) as lo, quantile_cont(height::double, 0.95) as hi from ft where height is not null group by 1) select source, round((hi - lo) / (hi + lo + 1e-6), 9) as contrast from a",
+    "hygiene_warnings": f"with c as (select public_label as p, regexp_replace(public_label, '\\p{{Cf}}', '', 'g') as c, nfc_normalize(regexp_replace(public_label, '\\p{{Cf}}', '', 'g')) as n from gold_sheet), w as (select 'stripped invisible' as warning from c where c <> p union all select 'composed' from c where n <> c union all select 'stripped ends' from c where trim(n, ' ') <> n union all select 'out of vocabulary' from c where regexp_matches(trim(n, ' '), '[^{CLASS}]')) select warning, count(*) as n from w group by 1",
     "split_audit": f"with {INSTANCES}, k as (select split, {_KIND} as kind, {_TRIM} as t from inst), s as (select split, count(*) as total, count(*) filter (kind = 'kept') as kept, count(*) filter (kind = 'hash') as hash, count(*) filter (kind = 'empty') as empty, coalesce(sum(length(t)) filter (kind = 'kept'), 0)::bigint as chars, coalesce(sum(len(list_filter(regexp_split_to_array(t, '{SPACE}'), lambda w: w <> ''))) filter (kind = 'kept'), 0)::bigint as words from k group by split) select * from s union all select 'ALL', sum(total)::bigint, sum(kept)::bigint, sum(hash)::bigint, sum(empty)::bigint, sum(chars)::bigint, sum(words)::bigint from s",
     "charset_inventory": rf"with {INSTANCES}, c as (select substr(raw_text, i, 1) as ch from inst, unnest(range(1, length(raw_text) + 1)) as t(i)) select ch, count(*) as n, unicode(ch) < 128 as is_ascii, regexp_matches(ch, '^\p{{M}}$') as is_mark from c group by ch",
     "vocab_coverage": f"with {INSTANCES}, a as (select split, length({_T}) as c, {_OOVS} as o from inst where scorable and text is not null) select split, count(*) as n, sum(c)::bigint as chars, sum(o)::bigint as oov, count(*) filter (o > 0) as n_with_oov, round(sum(o) * 100.0::double / sum(c), 4) as oov_pct from a group by split",
@@ -166,7 +183,7 @@ SQL = {
     "training_filter": f"with {INSTANCES}, {_QUAD}, a as (select split, scorable and text is not null as k, regexp_full_match(text, '[{CLASS}]*') as v, not (w < 4 or h < 4) as f from inst left join (select pos, w, h from qz) using (pos)) select split, count(*) as n, count(*) filter (k) as scorable, count(*) filter (k and v) as in_vocab, count(*) filter (k and v and f) as kept from a group by 1",
     "quad_features": f"with {INSTANCES}, {_QUAD} select pos, w, h, round(least(tl, 180 - tl), 6) as tilt, list_min([poly[1], poly[3], poly[5], poly[7]]) as x0, list_min([poly[2], poly[4], poly[6], poly[8]]) as y0, list_max([poly[1], poly[3], poly[5], poly[7]]) as x1, list_max([poly[2], poly[4], poly[6], poly[8]]) as y1 from qz",
     "diacritic_counts": f"with {INSTANCES} select source, sum(length({_T}))::bigint as n_chars, sum({_HAVE(_BOTH)})::bigint as n_stacked, sum({_HAVE(_ANY)})::bigint as n_diacritic from inst where scorable and text is not null group by 1",
-    "text_profile": rf"with {INSTANCES} select source, count(*) as n, round(avg(len(list_filter(regexp_split_to_array(text, '{SPACE}'), lambda w: w <> ''))), 9) as mean_tokens, round(avg((upper(text) = text and lower(text) <> text)::int), 9) as upper, round(avg((lower(text) <> upper(text))::int), 9) as has_letter, round(avg(regexp_matches(text, '\p{{Ll}}')::int), 9) as has_lower, round(avg(regexp_matches(text, '[0-9]')::int), 9) as has_digit, round(avg((length(text) = 1)::int), 9) as one_char, quantile_cont(length(text), 0.5) as median_len, quantile_cont(length(text), 0.9) as p90_len from inst where scorable and text is not null and text <> '' group by 1",
+    "text_profile": rf"with {INSTANCES} select source, count(*) as n, round(avg(len(list_filter(regexp_split_to_array(text, '{SPACE}'), lambda w: w <> ''))), 9) as mean_tokens, round(avg((upper(text) = text and lower(text) <> text)::int), 9) as upper, round(avg((regexp_matches(text, '\p{{Lu}}') and not regexp_matches(text, '(^|[^\p{{L}}])\p{{Ll}}|\p{{L}}\p{{Lu}}'))::int), 9) as title, round(avg((lower(text) <> upper(text))::int), 9) as has_letter, round(avg(regexp_matches(text, '\p{{Ll}}')::int), 9) as has_lower, round(avg(regexp_matches(text, '[0-9]')::int), 9) as has_digit, round(avg((length(text) = 1)::int), 9) as one_char, quantile_cont(length(text), 0.5) as median_len, quantile_cont(length(text), 0.9) as p90_len from inst where scorable and text is not null and text <> '' group by 1",
     "percentile_summary": f"with {FEATS}, {_LONG}, a as (select split, stat, count(*) as n, {_Q}, min(v) as min, max(v) as max, avg(v) as mean from lg group by 1, 2) select split, stat, n, " + ", ".join(f"round({c}, 6) as {c}" for c in ("p5", "p25", "p50", "p75", "p95", "min", "max", "mean")) + " from a",
     "coverage_audit": f"""with {FEATS}, {_LONG}, r as (select stat, {_Q} from lg where source <> 'night_neon' and stat <> 'length' group by 1), s as (select stat, {_Q} from lg where source = 'night_neon' and stat <> 'length' group by 1),
  j as (select stat, r.p5 as p5_r, r.p25 as p25_r, r.p50 as p50_r, r.p75 as p75_r, r.p95 as p95_r, s.p5 as p5_s, s.p50 as p50_s, s.p95 as p95_s, case stat when 'height' then log10(greatest(s.p50, 0.001)) - log10(greatest(r.p50, 0.001)) else s.p50 - r.p50 end as shift, case stat when 'height' then log10(greatest(r.p75, 0.001)) - log10(greatest(r.p25, 0.001)) else r.p75 - r.p25 end as iqr from r join s using (stat)),

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from inkgrain.plans import audit_plans, literal_plans, review_plans, sampling_plans, score_plans
+from inkgrain.plans import audit_plans, io_plans, literal_plans, review_plans, sampling_plans, score_plans
 
-PARTS = [score_plans, audit_plans, sampling_plans, review_plans, literal_plans]
+PARTS = [score_plans, audit_plans, sampling_plans, review_plans, literal_plans, io_plans]
 
 
 def queries():

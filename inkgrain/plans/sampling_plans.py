@@ -93,9 +93,7 @@ def bank_leakage(spark: SparkSession, d: str) -> DataFrame:
     """Test texts within and beyond the bank of training texts."""
     s = _scorable(spark, d, "split")
     bank = s.where("split = 'train'").select(F.col("text").alias("known"))
-    inside = sampling.in_bank(s.where("split <> 'train'"), "text", bank, "known").groupBy("split").agg(F.count("*").alias("in_bank"))
-    outside = sampling.in_bank(s.where("split <> 'train'"), "text", bank, "known", False).groupBy("split").agg(F.count("*").alias("beyond"))
-    return inside.join(outside, "split")
+    return sampling.bank_counts(s.where("split <> 'train'"), "text", bank, "known", ["split"])
 
 
 def split_disjoint(spark: SparkSession, d: str) -> DataFrame:
@@ -112,7 +110,7 @@ def pool_union(spark: SparkSession, d: str) -> DataFrame:
 
 def synthetic_draws(spark: SparkSession, d: str) -> DataFrame:
     """Draws of the text sampler by kind (20,000 draws: a sampling operator)."""
-    bank = _scorable(spark, d).where("split = 'train'").select("text")
+    bank = _scorable(spark, d, "split").where("split = 'train'").select("text")
     got = sampling.synthetic_draws(20_000, bank, sampling.token_bank(bank, "text", VOCAB), SEED, spark)
     return got.groupBy("kind", "stratum").agg(F.count("*").alias("n"), F.min("height").alias("least_height"), F.max("height").alias("most_height"))
 

@@ -203,6 +203,7 @@ _R = "with recursive"
 _whole = lambda c: f"round(case when count({c}) = count(*) then median({c}) end, 9)"
 SQL = {
     "score_by_seed": f"{_R} {_OPS}, {_W}, {_score_sql('run, seed')} select * from sc",
+    "sql_functions": f"{_R} {_OPS}, {_W}, e as (select run, seed, pos, count(*) filter (op <> 'eq') as edits from ops group by 1, 2, 3), q as (select p.*, ww.words, coalesce(e.edits, 0) as edits from p join ww using (r, h) left join e using (run, seed, pos)) select coalesce(tone, 'ngang') as tone, count(*) as n, sum(edits)::bigint as edits, sum(words)::bigint as words from q left join gl on substr(r, 1, 1) = ch group by 1",
     "score_by_source": f"{_R} {_OPS}, {_W}, {INSTANCES}, {_score_sql('run, source', _SRC)} select * from sc",
     "axis_confusion": f"{_R} {_OPS}, {_CONF} select * from cf",
     "axis_confusion_topk": f"{_R} {_OPS}, {_CONF} select * from (select *, row_number() over (partition by run, seed, axis order by n desc, ref, hyp) as rank from cf where ref <> hyp) where rank <= 12",

@@ -39,10 +39,27 @@ def scratch_dir(spark: SparkSession) -> str:
     return made
 
 
+_WRITTEN: list[str] = []
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write *df* once to the shared folder and read it back: lineage is cut and the rows
-    survive the loss of executors.  Written tables are compact and still prune columns."""
+    survive the loss of executors.  Written tables are compact and still prune columns.  They stay until
+    ``drop_settled``, as results are read lazily."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/inkgrain-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_settled(spark: SparkSession) -> int:
+    """Delete all tables that ``settle`` wrote in this process, once their results have been used; gives their
+    number."""
+    make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    n = len(_WRITTEN)
+    while _WRITTEN:
+        path = make(_WRITTEN.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return n

@@ -18,16 +18,22 @@ def split_catalog(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(SPLITS, "split string, folder string, first int, last int")
 
 
-def lines(spark: SparkSession, path: str) -> DataFrame:
-    """``(file, line, value)`` with the line's number in its file, counted from 0.
+def lines(spark: SparkSession, path: str, keep: Column | None = None) -> DataFrame:
+    """``(file, line, value)`` with the line's number in its file, counted from 0, among the lines that *keep* (on
+    ``value``) holds for (S3, H13).
 
-    Files are read whole, so a line's number needs no order across tasks; a file of lines of one
-    picture or of one run is small.
+    Files are split as Spark likes: lines are counted in each part of a file, and the parts' counts summed up
+    to where each begins.  No file is read by one task.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
-    body = F.regexp_replace("value", r"\r?\n$", "")
-    rows = whole.where("value <> ''").select("file", F.posexplode(F.split(body, r"\r?\n")).alias("line", "value"))
-    return rows
+    rows = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_part"), F.regexp_replace("value", r"\r$", "").alias("value"))
+    if keep is not None:
+        rows = rows.where(keep)
+    rows = rows.withColumn("_id", F.monotonically_increasing_id())
+    parts = rows.groupBy("file", "_part").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+    upto = Window.partitionBy("file").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    begin = parts.select(F.col("file").alias("_f"), F.col("_part").alias("_p"), "_first", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"))
+    got = rows.join(begin, (F.col("file") == F.col("_f")) & (F.col("_part") == F.col("_p")))
+    return got.select("file", (F.col("_before") + F.col("_id") - F.col("_first")).cast("int").alias("line"), "value")
 
 
 def annotations(spark: SparkSession, path: str, scorable_only: bool = True) -> DataFrame:
@@ -55,16 +61,13 @@ def label_file(spark: SparkSession, path: str) -> DataFrame:
 def predictions(spark: SparkSession, path: str, mode: str = "P") -> DataFrame:
     """``(pos, ref, hyp)``.  Mode P keeps blank lines and all after the first tab (S5); mode S drops
     blank lines and takes the second field only (S6)."""
-    rows = lines(spark, path)
     if mode == "P":
-        p = F.split("value", "\t", 2)
+        rows, p = lines(spark, path), F.split("value", "\t", 2)
     elif mode == "S":
-        rows = rows.where(F.trim("value") != "")
-        p = F.split("value", "\t")
+        rows, p = lines(spark, path, F.trim("value") != ""), F.split("value", "\t")
     else:
         raise ValueError("mode is P or S")
-    rows = rows.select("file", "line", F.get(p, F.lit(0)).alias("ref"), F.coalesce(F.get(p, F.lit(1)), F.lit("")).alias("hyp"))
-    return rows.withColumn("pos", F.row_number().over(Window.partitionBy("file").orderBy("line")) - 1).select("pos", "ref", "hyp")
+    return rows.select(F.col("line").alias("pos"), F.get(p, F.lit(0)).alias("ref"), F.coalesce(F.get(p, F.lit(1)), F.lit("")).alias("hyp"))
 
 
 def sheet(spark: SparkSession, path: str) -> DataFrame:
@@ -78,10 +81,18 @@ def sheet(spark: SparkSession, path: str) -> DataFrame:
     return cells.select("line", *[F.when(F.array_contains(have, c), at(c)).otherwise("").alias(c) for c in SHEET])
 
 
-def results(spark: SparkSession, glob: str) -> DataFrame:
-    """Result records of a glob of JSON files, dry runs (``seed99``) left out."""
-    df = spark.read.schema(RESULT).option("multiLine", True).json(glob)
-    return df.withColumn("file", F.input_file_name()).where(~F.col("file").contains("seed99"))
+def results(spark: SparkSession, glob: str, counts: dict[str, int | None] | None = None) -> DataFrame:
+    """Result records of a glob of JSON files, dry runs (``seed99``) left out.
+
+    ``counts`` names the counts that must be the same in every record, and what they must be (None: as in
+    the others); a record that differs raises.
+    """
+    df = spark.read.schema(RESULT).option("multiLine", False).json(glob) if counts is not None else spark.read.schema(RESULT).option("multiLine", True).json(glob)
+    df = df.withColumn("file", F.input_file_name()).where(~F.col("file").contains("seed99"))
+    for c, n in (counts or {}).items():
+        want = df.agg(F.min(c).alias("_w")) if n is None else spark.range(1).select(F.lit(n).alias("_w"))
+        df = df.join(F.broadcast(want), F.lit(True)).withColumn(c, F.when(F.col(c) == F.col("_w"), F.col(c)).otherwise(F.raise_error(F.lit(f"{c} differs between records")))).drop("_w")
+    return df
 
 
 def run_directory(r: Column, arm: Column) -> Column:

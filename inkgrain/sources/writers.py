@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+ONE_FILE = 1_000_000  #: tokens of a bank from which on several tasks write it
+
+
 def clean_cell(c: Column) -> Column:
     """A cell fit for a tab-separated line: tab and line feed as space, no carriage return (K4)."""
     return F.translate(F.coalesce(c.cast("string"), F.lit("")), "\t\n\r", "  ")
@@ -20,9 +23,12 @@ def write_tsv(df: DataFrame, columns: list[str], path: str, mode: str = "overwri
     tsv_lines(df, columns).write.mode(mode).text(path)
 
 
-def write_frequencies(bank: DataFrame, path: str) -> None:
-    """Tokens by falling count, ties by token (K2)."""
-    tsv_lines(bank.orderBy(F.col("cnt").desc(), "token"), ["token", "cnt"]).write.mode("overwrite").text(path)
+def write_frequencies(bank: DataFrame, path: str, first: str | None = None) -> None:
+    """Tokens by falling count, ties by the column *first* (where a token was first seen), then by token (K2).
+    The lines of all files, by file name, are in order; a bank of fewer than ``ONE_FILE`` tokens is one file."""
+    order = [F.col("cnt").desc(), *([first] if first else []), "token"]
+    rows = bank.orderBy(*order) if bank.count() >= ONE_FILE else bank.repartition(1).sortWithinPartitions(*order)
+    tsv_lines(rows, ["token", "cnt"]).write.mode("overwrite").text(path)
 
 
 def as_json(df: DataFrame, name: str = "value") -> DataFrame:
@@ -30,6 +36,12 @@ def as_json(df: DataFrame, name: str = "value") -> DataFrame:
     return df.select(F.to_json(F.struct(*df.columns)).alias(name))
 
 
+def manifest(counts: DataFrame, seed: str, config: dict[str, str]) -> DataFrame:
+    """One row that tells how something was made: seed, configuration and its counts (K7)."""
+    settings = F.create_map(*[F.lit(x) for kv in sorted(config.items()) for x in kv])
+    return counts.select(F.lit(seed).alias("seed"), settings.alias("config"), *counts.columns)
+
+
 def write_json(df: DataFrame, path: str) -> None:
     as_json(df).write.mode("overwrite").text(path)
 
