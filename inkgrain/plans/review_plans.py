@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from inkgrain.operators import review
 from inkgrain.plans.common import table
+from inkgrain.sources.readers import SHEET
 
 SEED = "20260713"
-SHEET = ["idx", "crop_file", "img_id", "stratum", "public_label", "gold_pass1", "gold_pass2", "blind", "action1", "action2", "resolved"]
 
 
 def _sheet(spark: SparkSession, d: str) -> DataFrame:
