@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkgrain.functions.text import chars, nfc, transcript_kind, vocab_pattern, word_list
+from inkgrain.operators.quantiles import quantiles
+from inkgrain.session import settle
 
 # Bin edges of the measured strata.
 BINS = {
@@ -89,8 +91,13 @@ def percentile_summary(values: DataFrame, by: list[str], columns: list[str]) ->
     linear interpolation.  Nulls and NaN are left out."""
     cells = F.array(*[F.struct(F.lit(c).alias("stat"), F.col(c).cast("double").alias("v")) for c in columns])
     rows = values.select(*by, F.inline(cells)).where("v is not null and not isnan(v)")
-    q = F.percentile("v", F.array(*[F.lit(p) for p in (0.05, 0.25, 0.5, 0.75, 0.95)]))
-    g = rows.groupBy(*by, "stat").agg(q.alias("q"), F.min("v").alias("min"), F.max("v").alias("max"), F.avg("v").alias("mean"), F.count("*").alias("n"))
+    rows = settle(rows)
+    q = quantiles(rows, [*by, "stat"], F.col("v"), [0.05, 0.25, 0.5, 0.75, 0.95]).withColumnsRenamed({k: f"_{k}" for k in [*by, "stat"]})
+    g = rows.groupBy(*by, "stat").agg(F.min("v").alias("min"), F.max("v").alias("max"), F.avg("v").alias("mean"), F.count("*").alias("n"))
+    same = F.lit(True)
+    for k in [*by, "stat"]:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    g = g.join(q, same).withColumnRenamed("qs", "q")
     return g.select(*by, "stat", *[F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("p5", "p25", "p50", "p75", "p95"))], "min", "max", "mean", "n")
 
 
@@ -145,6 +152,8 @@ def end_slope(points: DataFrame, by: list[str], x: str, y: str, lo: float, hi: f
 def first_match_stratum(f: DataFrame) -> DataFrame:
     """``stratum`` by the first rule that holds: dense, small, low contrast, plain.
     Thresholds are the lower quartiles of height (truncated, of positive heights) and contrast."""
-    q = f.agg(F.floor(F.percentile(F.when(F.col("height") > 0, F.col("height")), 0.25)).alias("small_px"), F.percentile(F.when(~F.isnan("contrast"), F.col("contrast")), 0.25).alias("low_contrast"))
+    small = quantiles(f.where("height > 0"), [], F.col("height"), [0.25]).select(F.floor(F.get("qs", F.lit(0))).alias("small_px"))
+    low = quantiles(f, [], F.col("contrast"), [0.25]).select(F.get("qs", F.lit(0)).alias("low_contrast"))
+    q = f.sparkSession.range(1).join(small, F.lit(True), "left").join(low, F.lit(True), "left").drop("id")
     rule = F.when(F.col("n_diacritic") >= 4, "dense").when((F.col("height") > 0) & (F.col("height") <= F.col("small_px")), "small").when(F.round("contrast", 4) <= F.col("low_contrast"), "low_contrast").otherwise("plain")
     return f.crossJoin(F.broadcast(q)).withColumn("stratum", rule)

@@ -1,13 +1,17 @@
 """Files in parts, plug-ins, the command line, merged artifacts, names in SQL."""
 
+import math
 import os
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from inkgrain import cli
 from inkgrain.functions import geometry, registry
 from inkgrain.operators import fonts, review, sampling, systems
+from inkgrain.operators.quantiles import quantiles
 from inkgrain.session import drop_settled, settle
 from inkgrain.sources import readers, writers
 
@@ -116,6 +120,19 @@ def test_counts_of_results_must_agree(spark, tmp_path):
     assert readers.results(spark, str(tmp_path / "s*"), {"n_chars": 5}).count() == 2
 
 
+def test_quantiles_against_numpy(spark):
+    r = random.Random(4)
+    data = [(r.choice(["a", "b", None]), r.choice([r.gauss(0, 1), float(r.randrange(4)), -r.expovariate(1e-5), math.nan, None])) for _ in range(3000)] + [("one", 2.5), ("inf", math.inf), ("inf", -math.inf), ("inf", 0.0), ("none", None)]
+    df = spark.createDataFrame(data, "g string, v double").withColumn("i", F.lit(1)).withColumn("_c", F.lit(1))
+    ps = [0.0, 0.05, 0.25, 0.5, 0.95, 1.0]
+    got = {x["g"]: x["qs"] for x in quantiles(df, ["g"], F.col("v"), ps).collect()}
+    assert set(got) == {"a", "b", None, "one", "inf"} and got["inf"][0] == -math.inf and got["inf"][-1] == math.inf and got["inf"][3] == 0
+    for g in ("a", "b", None, "one"):
+        v = [x for k, x in data if k == g and x is not None and not math.isnan(x)]
+        assert got[g] == [pytest.approx(float(np.percentile(v, 100 * p)), rel=1e-12, abs=1e-12) for p in ps]
+    assert quantiles(df.limit(0), [], F.col("v"), ps).count() == 0 and quantiles(df.where("g = 'one'"), [], F.col("v"), [0.5]).first()["qs"] == [2.5]
+
+
 def test_settled_tables_can_be_dropped(spark):
     t = settle(spark.range(3))
     path = t.inputFiles()[0].replace("file://", "")
