@@ -213,6 +213,41 @@ def test_texts_without_a_hash_partner_take_no_probes(spark):
     assert [tuple(x) for x in got] == [(1, 0)]
 
 
+def test_texts_of_a_hot_hash_meet_by_shared_pieces(spark, monkeypatch):
+    """The same near pairs as with everything of a hash compared, over pieces that most texts do not share."""
+    r = random.Random(4)
+    some = [f"84 {r.randrange(1000):03} {r.randrange(10**6):06}" for _ in range(60)] + ["84 1 2", "84 a b", "84 1 b", "84 1 22"]
+    edited = []
+    for t in some:
+        for _ in range(r.randrange(3)):
+            i = r.randrange(3, len(t))
+            t = r.choice([t[:i] + "7" + t[i + 1 :], t[:i] + "7" + t[i:], t[:i] + t[i + 1 :]])
+        edited.append(t)
+    asked = spark.createDataFrame([(i, len(t) + i % 4, 1, t[3:], 200) for i, t in enumerate(some)], "tid long, len int, key long, part string, n long")
+    known = spark.createDataFrame([(1, i, len(t), t[3:], 200) for i, t in enumerate(edited)], "key long, own long, lt int, pt string, n long")
+    plain = sorted(map(tuple, crossleak._close(asked, known).distinct().collect()))
+    monkeypatch.setattr(crossleak, "HOT", 100)
+    assert len(plain) >= 60 and sorted(map(tuple, crossleak._close(asked, known).distinct().collect())) == plain
+    cut = lambda ts, index: [set(crossleak._pieces.func(t[3:], 2, [2], index)) for t in ts[:60]]
+    assert sum(bool(a & b) for a in cut(some, False) for b in cut(edited, True)) < 60 * 60 / 8
+
+
+def test_bits_leave_out_no_match():
+    r = random.Random(5)
+    word = lambda: "".join(r.choices("abcd ", k=r.randint(4, 12)))
+    xs, ys = [], []
+    for _ in range(300):
+        x = [word() for _ in range(r.randint(8, 11))]
+        y = [t[:2] + r.choice(["", "a", "bb"]) + t[3:] if r.random() < 0.7 else word() for t in x]
+        xs.append(x)
+        ys.append(r.sample(y, len(y)))
+    some = [t for x in xs for t in x] + ["", "đđđ 😀"]
+    assert [int(a) | int(b) << 64 for a, b in crossleak._letters(some)] == [crossleak.letters(t) for t in some]
+    ok = crossleak._possible(xs, ys)
+    want = [crossleak.matched(x, y, -(-max(len(x), len(y)) * 2 // 3)) for x, y in zip(xs, ys)]
+    assert any(want) and not all(ok) and all(o for o, w in zip(ok, want) if w)
+
+
 def test_matching_is_largest():
     # the greedy choice (equal first) would match one pair only
     assert crossleak.matched(["abcde", "abcdx"], ["abcde", "abcdf"], 2)
