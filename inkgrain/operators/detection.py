@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkgrain.functions.geometry import bbox, overlap, quad_overlap
+from inkgrain.operators.greedy import match_images
 from inkgrain.session import settle
 
 # The thresholds of overlap, and the part of a prediction that a do-not-care region must hold.
@@ -70,27 +70,8 @@ def overlapping_pairs(a: DataFrame, b: DataFrame, image: str = "img_id", iou: fl
     return j.where(meet & F.coalesce(enough, F.lit(True))).withColumn("o", quad_overlap("poly_a", "poly_b")).select("img", "pos_a", "pos_b", "o.iou", "o.cover")
 
 
-GATHER = 200_000  #: overlaps of an image that one task may hold
-
-
-def _greedy(thresholds: list[float]):
-    """The rule on the overlaps of some images."""
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["pos_a", "iou", "pos_b"], ascending=[True, False, True])
-        rows = list(zip(part["img"].tolist(), part["pos_a"].tolist(), part["pos_b"].tolist(), part["iou"].tolist()))
-        out = []
-        for t in thresholds:
-            used: set = set()
-            served: set = set()
-            for img, a, b, iou in rows:
-                if iou >= t and (img, a) not in served and (img, b) not in used:
-                    served.add((img, a))
-                    used.add((img, b))
-                    out.append((float(t), img, a, b))
-        return pd.DataFrame(out, columns=["thr", "img", "pos_a", "pos_b"])
-
-    return run
+GATHER = 3_000_000  #: boxes of an image that one task may hold
+PART = 25_000  #: boxes of small images that go together
 
 
 def match(boxes: DataFrame, thresholds: list[float] = THRESHOLDS, gather: int = GATHER) -> DataFrame:
@@ -101,24 +82,43 @@ def match(boxes: DataFrame, thresholds: list[float] = THRESHOLDS, gather: int =
     do-not-care region (by overlap, or half its area) is not counted (J5).  Truths without area are
     left out.
 
-    An image with at most ``GATHER`` overlaps is matched in one task, with others, by the rule as it reads.  Of larger
+    An image with at most ``GATHER`` boxes is matched in one task, small ones with others, by the rule as it reads; only
+    the boxes and the overlaps of a block of predictions are held.  Of larger
     ones no image is gathered: a prediction whose best open truth is wanted by no earlier open prediction
     has it for sure; all such are matched at once, and again until none wants an open truth.  Both ways
     give the same matches.  No boxes give no rows.
     """
-    kind = lambda k: boxes.where((F.col("kind") == k) & (F.size("poly") == 8)).select("img_id", "pos", "poly")
+    thr = F.explode(F.array(*[F.lit(float(t)) for t in thresholds])).alias("thr")
+    flat = boxes.where((F.size("poly") == 8) & ((F.col("kind") != "gt") | (_shoelace(F.col("poly")) > 0)))
+    flat = flat.select(F.col("img_id").alias("img"), "pos", "kind", *[F.get("poly", F.lit(i)).cast("double").alias(f"p{i}") for i in range(8)])
+    all_flat = settle(flat)
+    flat = all_flat.where("img is not null")
+    # at most a row for PART boxes
+    large = settle(flat.groupBy("img").agg(F.count("*").alias("n")).where(F.col("n") > min(gather, PART)).withColumnRenamed("img", "_img"))
+    many = large.where(F.col("n") > gather).select(F.col("_img").alias("img"))
+    parts = F.lit(max(1, -(-flat.count() // PART)))
+    number = F.xxhash64("img")
+    few = flat.join(F.broadcast(large), F.col("img") == F.col("_img"), "left").where(F.coalesce(F.col("n") <= gather, F.lit(True)))
+    few = few.withColumn("part", F.when(F.col("n").isNotNull(), number).otherwise(F.pmod(number, parts))).drop("_img", "n")
+    counted = few.groupBy("part").applyInPandas(lambda x: match_images(x, thresholds, COVER), "thr double, tp long, ex long")
+    got = counted if many.isEmpty() else counted.unionByName(_in_rounds(boxes, many, thresholds))
+    got = settle(got).groupBy("thr").agg(F.sum("tp").alias("tp"), F.sum("ex").alias("ex"))
+    sizes = all_flat.agg(F.count_if(F.col("kind") == "pred").alias("n_pred"), F.count_if(F.col("kind") == "gt").alias("n_gt"))
+    all_ = sizes.where("n_pred + n_gt > 0").select("n_pred", "n_gt", thr)
+    got = all_.join(got, "thr", "left").fillna(0, ["tp", "ex"])
+    return got.select("thr", "tp", (F.col("n_pred") - F.col("tp") - F.col("ex")).alias("fp"), (F.col("n_gt") - F.col("tp")).alias("fn"))
+
+
+def _in_rounds(boxes: DataFrame, images: DataFrame, thresholds: list[float]) -> DataFrame:
+    """``(thr, tp, ex)`` of *images* (img) that no task holds."""
+    kind = lambda k: boxes.where((F.col("kind") == k) & (F.size("poly") == 8)).join(F.broadcast(images), F.col("img_id") == F.col("img"), "left_semi").select("img_id", "pos", "poly")
     truth = kind("gt").where(_shoelace(F.col("poly")) > 0)
     pred = kind("pred")
-    met = settle(overlapping_pairs(pred, truth, iou=min(thresholds)).where(F.col("iou") >= min(thresholds)))
     thr = F.explode(F.array(*[F.lit(float(t)) for t in thresholds])).alias("thr")
-    each = settle(met.groupBy("img").agg(F.count("*").alias("n")))
-    many = each.where(F.col("n") > gather).select("img")
-    parts = max(1, -(-(each.agg(F.sum("n")).first()[0] or 0) // min(gather, 50_000)))
-    kind_of = {f.name: f.dataType.simpleString() for f in met.schema}
-    small = met.join(many, "img", "left_anti").groupBy(F.pmod(F.xxhash64("img"), F.lit(parts)).alias("part")).applyInPandas(_greedy(thresholds), f"thr double, img {kind_of['img']}, pos_a {kind_of['pos_a']}, pos_b {kind_of['pos_b']}")
-    matched = settle(small)
-    edges = settle(met.join(many, "img", "left_semi").select("img", "pos_a", "pos_b", "iou", thr).where("iou >= thr"))
+    met = overlapping_pairs(pred, truth, iou=min(thresholds)).where(F.col("iou") >= min(thresholds))
+    edges = settle(met.select("img", "pos_a", "pos_b", "iou", thr).where("iou >= thr"))
     key = ["thr", "img"]
+    matched = edges.select(*key, "pos_a", "pos_b").limit(0)
     while not edges.isEmpty():
         top = edges.groupBy(*key, "pos_a").agg(F.min_by("pos_b", F.struct(-F.col("iou"), F.col("pos_b"))).alias("pos_b"))
         head = edges.groupBy(*key, "pos_b").agg(F.min("pos_a").alias("pos_a"))
@@ -129,10 +129,7 @@ def match(boxes: DataFrame, thresholds: list[float] = THRESHOLDS, gather: int =
     excused = overlapping_pairs(pred, kind("dontcare"), iou=min(thresholds), cover=COVER).select("img", "pos_a", "iou", "cover", thr).where((F.col("iou") >= F.col("thr")) | (F.col("cover") >= COVER)).select(*key, "pos_a").distinct()
     excused = excused.join(matched, [*key, "pos_a"], "left_anti")
     ex = excused.groupBy("thr").agg(F.count("*").alias("ex"))
-    sizes = pred.agg(F.count("*").alias("n_pred")).crossJoin(truth.agg(F.count("*").alias("n_gt")))
-    all_ = sizes.where("n_pred + n_gt > 0").select("n_pred", "n_gt", thr)
-    got = all_.join(tp.withColumnRenamed("n", "tp"), "thr", "left").join(ex, "thr", "left").fillna(0, ["tp", "ex"])
-    return got.select("thr", "tp", (F.col("n_pred") - F.col("tp") - F.col("ex")).alias("fp"), (F.col("n_gt") - F.col("tp")).alias("fn"))
+    return tp.withColumnRenamed("n", "tp").join(ex, "thr", "full").fillna(0, ["tp", "ex"]).select("thr", "tp", "ex")
 
 
 def _shoelace(p: Column) -> Column:

@@ -1,10 +1,12 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from inkgrain.operators import audit, detection, review, sampling, score, seedstats
+from inkgrain.functions.geometry import overlap
+from inkgrain.operators import audit, detection, greedy, review, sampling, score, seedstats
 
 
 def scored(spark, pairs):
@@ -144,6 +146,34 @@ def test_detection_against_the_rule(spark):
     assert detection.match(df.limit(0)).count() == 0
 
 
+def test_overlaps_of_a_dense_image_are_not_written(spark, monkeypatch):
+    """The rule as it reads, where an image has many more overlaps than boxes."""
+    r = random.Random(8)
+    rows = []
+    for pos in range(300):
+        x, y, w, h, d = r.randint(0, 30), r.randint(0, 12), r.randint(30, 60), r.randint(12, 24), r.choice([0, 0, 3, -3])
+        rows.append((1, pos, [x, y, x + w, y + d, x + w, y + h + d, x, y + h], ["gt", "pred", "gt", "pred", "pred", "dontcare"][pos % 6]))
+    written = []
+    monkeypatch.setattr(detection, "settle", lambda df: written.append(df.count()) or df)
+    df = spark.createDataFrame(rows, "img_id int, pos int, poly array<int>, kind string")
+    got = {x["thr"]: (x["tp"], x["fp"], x["fn"]) for x in detection.match(df).collect()}
+    one = [(p, [float(v) for v in q], k) for _, p, q, k in rows]
+    assert got == {t: detection.match_one_image(one, t) for t in detection.THRESHOLDS}
+    assert max(written) <= len(rows)
+
+
+def test_overlaps_in_arrays_are_those_of_single_quads():
+    r = random.Random(9)
+    quad = lambda: [float(r.randint(0, 9)) if r.random() < 0.5 else r.random() * 9 for _ in range(8)]
+    box = lambda x, y, w, h, d: [x, y, x + w, y + d, x + w, y + h + d, x, y + h]
+    near = lambda: [float(v) for v in box(r.randint(0, 9), r.randint(0, 9), r.randint(0, 40), r.randint(0, 20), r.randint(-4, 4))]
+    pairs = [(quad(), quad()) for _ in range(300)] + [(near(), near()) for _ in range(1500)]
+    iou, cover = greedy.overlaps(np.array([a for a, _ in pairs]), np.array([b for _, b in pairs]))
+    for (a, b), i, c in zip(pairs, iou.tolist(), cover.tolist()):
+        s, t, both = overlap(a, b)
+        assert i == (both / (s + t - both) if s + t - both > 0 else 0.0) and c == (both / s if s > 0 else 0.0)
+
+
 def test_coverage_rules(spark):
     cols = "stat string, p5 double, p25 double, p50 double, p75 double, p95 double"
     real = spark.createDataFrame([("contrast", 1.0, 2.0, 3.0, 4.0, 5.0), ("edge", 1.0, 2.0, 3.0, 4.0, 10.0)], cols)
